@@ -1,0 +1 @@
+"""rasterloom.streaming"""
