@@ -1,11 +1,15 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup
+from . import exact_dedup, langid, packing, topk
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op3_exact_topk": topk.query,
+    "op5_language_id": langid.query,
+    "op9_harmonic_packing": packing.query,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_exact_topk": topk.ORACLE_SQL,
 }
