@@ -1,8 +1,9 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, langid, packing, topk
+from . import exact_dedup, langid, near_dedup, packing, topk
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_exact_topk": topk.query,
     "op5_language_id": langid.query,
