@@ -1,16 +1,19 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, langid, near_dedup, packing, topk
+from . import exact_dedup, langid, mixing, near_dedup, packing, secrets, topk
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_exact_topk": topk.query,
     "op5_language_id": langid.query,
+    "op8_secret_scan": secrets.query,
     "op9_harmonic_packing": packing.query,
+    "op10_pfair_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_exact_topk": topk.ORACLE_SQL,
+    "op10_pfair_mixing": mixing.ORACLE_SQL,
 }
