@@ -1,11 +1,12 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, secrets, topk, toxicity
+from . import exact_dedup, langid, mixing, near_dedup, ngram_lm, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_exact_topk": topk.query,
+    "op4_ngram_lm": ngram_lm.query,
     "op5_language_id": langid.query,
     "op6_toxicity": toxicity.query,
     "op8_secret_scan": secrets.query,

@@ -87,7 +87,7 @@ def base_scores(docs, learns):
     out = {}
     for i, t in docs:
         w = [*words(t), None]
-        out[i] = (len(w), sum(counts[x] > 0 for x in w), sum(math.log10((counts[x] + 1) / ((total + 1) * (kinds + 1))) for x in w))
+        out[i] = (len(w), sum(counts[x] > 0 for x in w), sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w))
     return out, total
 
 
