@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -163,16 +164,30 @@ def learn(rows: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; the columns of docs are carried through untouched."""
+    """docs with lang_pred and score in place of text; its other columns are carried through untouched."""
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = held.value.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns) if n != "text"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[n for n in batch.schema.names if n != "text"], "lang_pred", "score"])
+            others = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in others], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[n for n, _ in others], "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language: those that aren't `und`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = held.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def trainable(docs: DataFrame) -> DataFrame:
