@@ -9,9 +9,9 @@ standard deviation of 4.4; 47 is five of those away. Links are confirmed on the
 
 Work stays linear in groups of copies. Equal sets are one class, joined through their smallest doc_id. In a bucket (the
 classes that share a key) each class is first held against the bucket's smallest only. The components of the confirmed
-links then settle most buckets: pairs within one component need no test. Only buckets with several components give
-pairs across components, held to the distance before they leave the join. What is left out is connected already, so no
-link between components is lost. Hot keys are reduced by map-side minima; the joins on keys are plain equi-joins that
+links then settle most buckets: pairs within one component need no test. In buckets with several components, each class of
+a smaller component is held against the whole larger one, block by block. What is left out is connected already, so
+no link between components is lost. Hot keys are reduced by map-side minima; the joins on keys are plain equi-joins that
 adaptive execution can split.
 
 Defined cases: a document of fewer words than a shingle has one shingle, the whole sequence; without words (or with null
@@ -35,6 +35,8 @@ from .components import components
 
 POSITIONS, CHUNK, ERRORS = 120, 5, 1
 DISTANCE = (ERRORS + 1) * (POSITIONS // CHUNK) - 1
+#: Shingles in a block of sets, about.
+BLOCK = 200_000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**31, POSITIONS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, POSITIONS, dtype=np.uint32)[:, None]
@@ -152,6 +154,81 @@ def _confirm(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> Data
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _across(members: DataFrame, joined: DataFrame, sides: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (a, b) between the components of the first links: for a class and another component that it shares a bucket
+    with, one link if there is any.
+
+    The class of the smaller component is held against all classes of the larger one, in blocks of sets: the sizes of
+    all intersections of two blocks are one matrix product, so no pair is ever a row.
+    """
+    nodes = common.stored(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "nodes")
+    groups = common.stored(nodes.join(sides, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), F.min(F.struct("node", "n", "s")).alias("first")), "groups")
+    placed = common.stored(members.select("key", "node").join(nodes, "node").join(groups.select("component", "size"), "component"), "placed")
+    order = F.struct("size", "component")
+    mixed = placed.groupBy("key").agg(F.min(order).alias("least"), F.max(order).alias("top")).filter("least < top").select("key", "top")
+    across = common.stored(placed.join(mixed, "key").select("key", "node", "component", "size", (order < F.col("top")).alias("below")), "across")
+    small = across.filter("below").join(sides, "node").select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.struct("size", "component").alias("order_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    large = across.select("key", "component").distinct().join(groups, "component").select("key", "component", "size", order.alias("order_b"), F.col("first.n").alias("n_b"), F.col("first.s").alias("s_b"))
+    # a component of one class shows by its signature whether a pair can be close enough
+    met = small.join(large.hint("merge"), (F.col("key_a") == F.col("key")) & (F.col("order_a") < F.col("order_b")) & ((F.col("size") > 1) | _close(similarity)))
+    tests = common.stored(met.select("a", "component").distinct(), "tests")
+
+    wanted = nodes.join(tests.select("component").distinct(), "component", "left_semi")
+    needed = wanted.select("node").union(tests.select(F.col("a"))).distinct()
+    sets = common.stored(_sets(needed.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text"), words), "sets")
+
+    def blocks(rows: DataFrame, volumes: DataFrame, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("node"), F.ceil(F.col("volume") / BLOCK).cast("long")).alias("block")
+        dealt = rows.join(volumes, "component").select("component", "node", number)
+        return dealt.join(sets, "node").groupBy("component", "block").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("block")
+
+    left = tests.select("component", F.col("a").alias("node"))
+    left_volume = left.join(sides, "node").groupBy("component").agg(F.sum("n").alias("volume"))
+    pairs = common.stored(blocks(left, left_volume, "left"), "blocks").join(common.stored(blocks(wanted, groups.select("component", "volume"), "right"), "blocks").hint("merge"), "component").select("left", "right")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                a, b = block_links(left.as_py(), right.as_py(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """(node, set): the hashes of the shingles of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), n, words).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
+def block_links(left: list[dict], right: list[dict], similarity: int) -> tuple[list[int], list[int]]:
+    """For each set of left the first set of right that is similar enough, if any."""
+    a, b = ([np.frombuffer(x["set"], np.uint64) for x in side] for side in (left, right))
+    n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+        shared += _incidence(a, part) @ _incidence(b, part).T
+    good = (100 * shared >= similarity * (n_a[:, None] + n_b[None, :] - shared)) & (shared > 0)
+    rows = np.flatnonzero(good.any(axis=1))
+    return [left[i]["node"] for i in rows], [right[j]["node"] for j in good[rows].argmax(axis=1)]
+
+
+def _incidence(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(universe)), np.float32)
+    for row, s in zip(out, sets):
+        s = s[np.searchsorted(s, universe[0]) : np.searchsorted(s, universe[-1], side="right")]
+        at = np.searchsorted(universe, s)
+        row[at[universe[at] == s]] = 1
+    return out
+
+
 def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; similarity in hundredths, 80 or more."""
     signed = common.stored(signatures(docs, words), "signatures")
@@ -173,13 +250,7 @@ def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFra
     links = common.stored(_confirm(tested, texts, words, similarity), "links")
     joined = common.stored(components(links), "components")
 
-    placed = common.stored(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    across = common.stored(placed.join(mixed, "key").join(sides, "node").select("key", "node", "component", "n", "s"), "across")
-    one = lambda x: across.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "s")])
-    pairs = one("a").join(one("b").withColumnRenamed("key", "key_b").hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _close(similarity))
-    rest = pairs.select(F.col("node_b").alias("a"), F.col("node_a").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = common.stored(_confirm(common.stored(rest, "pairs"), texts, words, similarity), "links")
+    more = common.stored(_across(members, joined, sides, texts, words, similarity), "links")
     final = common.stored(components(links.union(more)) if more.head(1) else joined, "components")
 
     named = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
