@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 22
-SAMPLE, TERMS, Z, LIFT, RANK = 4000, 4096, 3.0, 3.0, 4
+BUCKETS = 1 << 21
+SAMPLE, TERMS, Z, LIFT, RANK = 2500, 4096, 3.0, 3.0, 4
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7)
 #: Lower-cases A-Z and blanks every other ASCII character.
@@ -85,24 +85,24 @@ def fit(texts: list[str | None], labels: list[int], weights: dict[int, float], s
     sizes = Counter(labels)
     if not sizes[0] or not sizes[1]:
         return Machine({}, -60.0, np.zeros(0), np.zeros((0, RANK)))
-    sets = [{t for word in words_of(text) for t in terms_of(word)} for text in texts]
-    counts = [Counter(), Counter()]
-    for s, y in zip(sets, labels):
-        counts[y].update(s)
-
-    def telling(t: int) -> float:
-        p = [(counts[y][t] + 0.5) / (sizes[y] + 1) for y in (0, 1)]
-        if max(p) < LIFT * min(p):
-            return 0.0
-        return abs(p[1] - p[0]) / math.sqrt(sum(p[y] * (1 - p[y]) / sizes[y] for y in (0, 1)))
-
-    ranked = sorted(((telling(t), t) for t in counts[0].keys() | counts[1].keys() if counts[0][t] + counts[1][t] >= 4), key=lambda x: (-x[0], x[1]))
-    index = {t: i for i, (z, t) in enumerate(ranked[:TERMS]) if z >= Z}
+    sets = [np.unique(np.array([t for word in words_of(text) for t in terms_of(word)], np.int32)) for text in texts]
+    y = np.array(labels, np.int64)
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for s, label in zip(sets, labels):
+        counts[label, s] += 1
+
+    seen = np.flatnonzero(counts.sum(axis=0) >= 4)
+    p = (counts[:, seen] + 0.5) / np.array([[sizes[0] + 1], [sizes[1] + 1]])
+    z = np.abs(p[1] - p[0]) / np.sqrt(p[0] * (1 - p[0]) / sizes[0] + p[1] * (1 - p[1]) / sizes[1])
+    z[p.max(axis=0) < LIFT * p.min(axis=0)] = 0
+    best = seen[np.lexsort((seen, -z))[:TERMS][: np.count_nonzero(z >= Z)]]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[best] = np.arange(len(best))
+    index = {int(t): i for i, t in enumerate(best)}
     n, m = len(sets), len(index)
-    pairs = [(r, index[t]) for r, s in enumerate(sets) for t in sorted(s & index.keys())]
-    row = np.array([p[0] for p in pairs], np.int64)
-    col = np.array([p[1] for p in pairs], np.int64)
-    y = np.array(labels, float)
+    held = [place[s][place[s] >= 0] for s in sets]
+    row = np.repeat(np.arange(n), [len(h) for h in held])
+    col = np.concatenate(held).astype(np.int64)
     weight = np.where(y == 1, weights[1], weights[0])
     weight /= weight.sum()
     rng = np.random.default_rng(11)
