@@ -243,7 +243,19 @@ def blocks(docs: DataFrame, shards: int, hot: list[int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(make, _BLOCKS)
 
 
-_PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, model double"
+_PARTS = "chunk long, part binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one chunk, with the sums of all shards' parts."""
+    parts = [pickle.loads(p) for p in pdf["part"]]
+    ids = next(p for p in parts if isinstance(p, list))
+    sums = np.zeros((4, len(ids)))
+    for p in parts:
+        if not isinstance(p, list):
+            sums[:, p[0]] += p[1]
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "model": sums[3]})
 
 
 def _answer(n_total: int, n_kinds: int, hot: dict[int, int]):
@@ -255,11 +267,7 @@ def _answer(n_total: int, n_kinds: int, hot: dict[int, int]):
         """Builds a shard's trie from its blocks and gives each document's sums."""
         shard = int(pdf["shard"].iloc[0])
         if shard < 0:
-            out = []
-            for chunk, block in zip(pdf["chunk"], pdf["block"]):
-                ids = pickle.loads(block)
-                out.append(pd.DataFrame({"row": (int(chunk) << 16) + np.arange(len(ids)), "doc_id": pd.array(ids, "Int64"), "n_tokens": 0, "n_known": 0, "base": 0.0, "model": 0.0}))
-            return pd.concat(out)
+            return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["block"]})
         expand = zstandard.ZstdDecompressor()
         parts = [pickle.loads(expand.decompress(b)) for b in pdf["block"]]
         words = np.unique(np.concatenate([p[0] for p in parts]))
@@ -286,18 +294,21 @@ def _answer(n_total: int, n_kinds: int, hot: dict[int, int]):
         spread = np.where(words == np.uint64(END), 0.0, -np.log10(count + MU))
         trie = Trie(words, [np.log10(MU * p), spread], pairs[seen], smoothed)
         base = np.log10(p)
+        # each distinct pair is looked up once, in order; the blocks then refer to the answers
+        rank, _ = trie.rank(words)
+        context = rank[(pairs >> np.uint64(32)).astype(np.int64)]
+        value, found = trie.pair(context, pairs & np.uint64(0xFFFFFFFF))
+        value[~found] = decoded(trie.word_codes[0][context[~found]])
+        value += decoded(trie.word_codes[1][context])
         out = []
-        for chunk, (w, n, other, size, doc, times, _, docs) in zip(pdf["chunk"], parts):
-            rank, _ = trie.rank(w)
-            context = np.repeat(rank, n)
-            value, found = trie.pair(context, other)
-            value[~found] = decoded(trie.word_codes[0][context[~found]])
-            value += decoded(trie.word_codes[1][context])
+        for mine, (_, _, _, size, doc, times, _, docs) in zip(keys, parts):
+            at = np.searchsorted(pairs, mine)
+            word = context[at]
             of = np.repeat(np.arange(len(size)), size)
-            sums = [np.bincount(doc, x, docs) for x in (times, times * (count[context] > 0)[of], times * base[context][of], times * value[of])]
+            sums = np.stack([np.bincount(doc, x, docs) for x in (times, times * (count[word] > 0)[of], times * base[word][of], times * value[at][of])])
             there = np.flatnonzero(sums[0])
-            out.append(pd.DataFrame({"row": (int(chunk) << 16) + there, "doc_id": pd.array([None] * len(there), "Int64"), "n_tokens": sums[0][there].astype(np.int64), "n_known": sums[1][there].astype(np.int64), "base": sums[2][there], "model": sums[3][there]}))
-        return pd.concat(out)
+            out.append(pickle.dumps((there.astype(np.uint16), sums[:, there]), protocol=5))
+        return pd.DataFrame({"chunk": pdf["chunk"], "part": out})
 
     return answer
 
@@ -311,7 +322,7 @@ def score(docs: DataFrame) -> DataFrame:
     shards = max(common.partitions(docs.sparkSession), -(-n // SHARD_TOKENS))
     made = blocks(docs, shards, list(hot))
     parts = made.groupBy("shard").applyInPandas(_answer(n, v, hot), _PARTS)
-    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
+    summed = parts.groupBy("chunk").applyInPandas(_summed, _SCORED)
     begin = float(-np.log10(learnt + MU))
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("model") + F.lit(begin)).alias("score"))
 
