@@ -1,4 +1,6 @@
 """Queries by name, and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from rasterloom.plans import raster_queries
+
+QUERIES: dict = dict(raster_queries.QUERIES)
+ORACLE_SQL: dict = dict(raster_queries.ORACLE_SQL)
