@@ -34,7 +34,7 @@ def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def linear_rgb(light: Column, a: Column, b: Column) -> list[Column]:
-    return _product(FROM_LMS, *[x * x * x for x in _product(FROM_LAB, light, a, b)])
+    return _product(FROM_LMS, *[F.pow(x, F.lit(3)) for x in _product(FROM_LAB, light, a, b)])
 
 
 def chroma(a: Column, b: Column) -> Column:

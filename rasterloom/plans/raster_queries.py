@@ -72,10 +72,10 @@ def px_profiles(spark, d):
 
 
 RUNS_SQL = """, m as (
-  select frame, 0 as axis, y as line, x as at, a, case when (r, g, b, a) is distinct from lag((r, g, b, a)) over (partition by frame, y order by x) then 1 else 0 end as new from px
+  select frame, 0 as axis, y as line, x as place, a, case when (r, g, b, a) is distinct from lag((r, g, b, a)) over (partition by frame, y order by x) then 1 else 0 end as new from px
   union all
   select frame, 1, x, y, a, case when (r, g, b, a) is distinct from lag((r, g, b, a)) over (partition by frame, x order by y) then 1 else 0 end from px),
-i as (select *, sum(new) over (partition by frame, axis, line order by at) as island from m),
+i as (select *, sum(new) over (partition by frame, axis, line order by place) as island from m),
 runs as (select frame, len, count(*) as cnt from (select frame, count(*) as len from i where a > 0 group by frame, axis, line, island) group by all)"""
 
 
@@ -305,7 +305,7 @@ def px_upscale(spark, d):
     return stencil.upscale(derived_pixels(spark, d), 3)
 
 
-REGIONS_SQL = ", rg as (select n_name as label, (n_nationkey % 5 * 6)::int as bx, (n_nationkey // 5 * 6)::int as by, (n_nationkey % 7 + 1)::int as bw, (n_nationkey % 3 + 1)::int as bh from nation)"
+REGIONS_SQL = ', rg as (select n_name as label, (n_nationkey % 5 * 6)::int as bx, (n_nationkey // 5 * 6)::int as "by", (n_nationkey % 7 + 1)::int as bw, (n_nationkey % 3 + 1)::int as bh from nation)'
 
 
 def _regions(spark, d):
@@ -314,12 +314,12 @@ def _regions(spark, d):
     return export.regions(slices, SIDE, SIDE)
 
 
-@query("px_crop", _px(REGIONS_SQL + " select label, frame, y - by as y, x - bx as x, r, g, b, a from px join rg on x >= bx and x < bx + bw and y >= by and y < by + bh"))
+@query("px_crop", _px(REGIONS_SQL + ' select label, frame, y - "by" as y, x - bx as x, r, g, b, a from px join rg on x >= bx and x < bx + bw and y >= "by" and y < "by" + bh'))
 def px_crop(spark, d):
     return stencil.crop(derived_pixels(spark, d), _regions(spark, d))
 
 
-@query("px_regions_nonempty", _px(REGIONS_SQL + " select * from rg where exists (select 1 from px where a > 0 and x >= bx and x < bx + bw and y >= by and y < by + bh)"))
+@query("px_regions_nonempty", _px(REGIONS_SQL + ' select * from rg where exists (select 1 from px where a > 0 and x >= bx and x < bx + bw and y >= "by" and y < "by" + bh)'))
 def px_regions_nonempty(spark, d):
     return export.nonempty(_regions(spark, d), derived_pixels(spark, d))
 
