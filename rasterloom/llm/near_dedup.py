@@ -35,8 +35,8 @@ from .components import components
 
 POSITIONS, CHUNK, ERRORS = 120, 5, 1
 DISTANCE = (ERRORS + 1) * (POSITIONS // CHUNK) - 1
-#: Shingles in a block of sets, about.
-BLOCK = 200_000
+#: Shingles in a block of sets, about; classes of a component whose signatures are compared first.
+BLOCK, FEW = 200_000, 16
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**31, POSITIONS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, POSITIONS, dtype=np.uint32)[:, None]
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, node) for every chunk of a signature and every position left out of it."""
+    """(key, node, slot) for every slot: a chunk of the signature and the position left out of it."""
 
     def enumerate_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,26 +110,49 @@ def _keys(classes: DataFrame) -> DataFrame:
                     packed = four[0] << np.uint64(48) | four[1] << np.uint64(32) | four[2] << np.uint64(16) | four[3]
                     keys[:, :, e] = _mix(packed + (np.arange(s.shape[1], dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(e))[None, :] * _M1)
                 nodes = np.repeat(part.column(0).to_numpy(), POSITIONS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes), pa.array(np.tile(np.arange(POSITIONS, dtype=np.int8), part.num_rows))], names=["key", "node", "slot"])
 
-    return classes.select("node", "sign").mapInArrow(enumerate_errors, "key long, node long")
+    return classes.select("node", "sign").mapInArrow(enumerate_errors, "key long, node long, slot byte")
 
 
 def _spread(step: int):
     return lambda x: x.bitwiseOR(F.shiftrightunsigned(x, step))
 
 
-def _distance(a: str, b: str) -> F.Column:
-    """Differing positions of two signatures held as arrays of longs, four positions in each."""
-    lanes = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+def _chunks(sign: str) -> F.Column:
+    """A signature's chunks, each as x (its first four positions in one number) and y (the fifth)."""
+    number = lambda at, n: F.conv(F.hex(F.substring(sign, at, n)), 16, -10).cast("long")
+    return F.array(*[F.struct(number(10 * i + 1, 8).alias("x"), number(10 * i + 9, 2).alias("y")) for i in range(POSITIONS // CHUNK)])
+
+
+def _differences(a: F.Column, b: F.Column) -> F.Column:
+    """For each chunk of two signatures a bit in every 16 of a number where the first four positions differ, and whether
+    the fifth does."""
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(p["x"].bitwiseXOR(q["x"]).alias("x"), (p["y"] != q["y"]).cast("int").alias("y")))
     for step in (8, 4, 2, 1):
-        lanes = F.transform(lanes, _spread(step))
-    return F.aggregate(lanes, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
+        spread = _spread(step)
+        pairs = F.transform(pairs, lambda p: F.struct(spread(p["x"]).alias("x"), p["y"].alias("y")))
+    return F.transform(pairs, lambda p: F.struct(p["x"].bitwiseAND(F.lit(0x0001000100010001)).alias("x"), p["y"].alias("y")))
+
+
+def _errors(p: F.Column) -> F.Column:
+    return F.bit_count(p["x"]) + p["y"]
+
+
+def _distance(a: F.Column, b: F.Column) -> F.Column:
+    return F.aggregate(_differences(a, b), F.lit(0), lambda n, p: n + _errors(p))
+
 
+def _first_slot(a: F.Column, b: F.Column) -> F.Column:
+    """The first slot (chunk and position left out) in which two signatures have the same key."""
+    left_out = lambda p: F.when(_errors(p) == 0, 0).when(p["y"] == 1, 4).when(p["x"] == 1 << 48, 0).when(p["x"] == 1 << 32, 1).when(p["x"] == 1 << 16, 2).otherwise(3)
+    shared = F.transform(_differences(a, b), lambda p, i: F.when(_errors(p) <= ERRORS, i * CHUNK + left_out(p)))
+    return F.array_min(shared)
 
-def _close(similarity: int) -> F.Column:
+
+def _close(similarity: int, n_a: F.Column, s_a: F.Column, n_b: F.Column, s_b: F.Column) -> F.Column:
     """What the sizes and signatures of a pair must meet."""
-    return (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (_distance("s_a", "s_b") <= DISTANCE)
+    return (100 * F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)) & (_distance(s_a, s_b) <= DISTANCE)
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -154,6 +177,18 @@ def _confirm(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> Data
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _mixed(members: DataFrame, joined: DataFrame, sides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, groups, rows): each class's component; each component's size and volume; and the members of the buckets
+    that several components share, with whether their component is below the bucket's largest."""
+    nodes = common.stored(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "nodes")
+    groups = common.stored(nodes.join(sides, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("volume")), "groups")
+    placed = common.stored(members.select("key", "node", "slot").join(nodes, "node").join(groups.select("component", "size"), "component"), "placed")
+    order = F.struct("size", "component")
+    several = placed.groupBy("key").agg(F.min(order).alias("least"), F.max(order).alias("top")).filter("least < top").select("key", "top")
+    rows = common.stored(placed.join(several, "key").select("key", "node", "slot", "component", "size", (order < F.col("top")).alias("below")), "mixed")
+    return nodes, groups, rows
+
+
 def _across(members: DataFrame, joined: DataFrame, sides: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links (a, b) between the components of the first links: for a class and another component that it shares a bucket
     with, one link if there is any.
@@ -161,16 +196,15 @@ def _across(members: DataFrame, joined: DataFrame, sides: DataFrame, texts: Data
     The class of the smaller component is held against all classes of the larger one, in blocks of sets: the sizes of
     all intersections of two blocks are one matrix product, so no pair is ever a row.
     """
-    nodes = common.stored(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "nodes")
-    groups = common.stored(nodes.join(sides, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), F.min(F.struct("node", "n", "s")).alias("first")), "groups")
-    placed = common.stored(members.select("key", "node").join(nodes, "node").join(groups.select("component", "size"), "component"), "placed")
+    nodes, groups, across = _mixed(members, joined, sides)
+    few = nodes.join(groups.filter(F.col("size") <= FEW).select("component"), "component").join(sides, "node").groupBy("component").agg(F.collect_list(F.struct("n", "s")).alias("classes"))
     order = F.struct("size", "component")
-    mixed = placed.groupBy("key").agg(F.min(order).alias("least"), F.max(order).alias("top")).filter("least < top").select("key", "top")
-    across = common.stored(placed.join(mixed, "key").select("key", "node", "component", "size", (order < F.col("top")).alias("below")), "across")
-    small = across.filter("below").join(sides, "node").select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.struct("size", "component").alias("order_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    large = across.select("key", "component").distinct().join(groups, "component").select("key", "component", "size", order.alias("order_b"), F.col("first.n").alias("n_b"), F.col("first.s").alias("s_b"))
-    # a component of one class shows by its signature whether a pair can be close enough
-    met = small.join(large.hint("merge"), (F.col("key_a") == F.col("key")) & (F.col("order_a") < F.col("order_b")) & ((F.col("size") > 1) | _close(similarity)))
+    small = across.filter("below").join(sides, "node").select(F.col("key").alias("key_a"), F.col("slot").alias("slot"), F.col("node").alias("a"), F.struct("size", "component").alias("order_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    large = across.select("key", "component", "size").distinct().join(few, "component", "left").select("key", "component", "classes", order.alias("order_b"))
+    # a component of few classes shows by their signatures whether a pair can be close enough, and counts in the first
+    # bucket that the pair shares
+    close = F.exists("classes", lambda c: _close(similarity, F.col("n_a"), F.col("s_a"), c["n"], c["s"]) & (_first_slot(F.col("s_a"), c["s"]) == F.col("slot")))
+    met = small.join(large.hint("merge"), (F.col("key_a") == F.col("key")) & (F.col("order_a") < F.col("order_b")) & (F.col("classes").isNull() | close))
     tests = common.stored(met.select("a", "component").distinct(), "tests")
 
     wanted = nodes.join(tests.select("component").distinct(), "component", "left_semi")
@@ -239,17 +273,15 @@ def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFra
     buckets = common.stored(_keys(classes).groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead"), "buckets")
     members = common.stored(_keys(classes).join(buckets.hint("merge"), "key"), "members")
 
-    numbers = F.array(*[F.conv(F.hex(F.substring("sign", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(POSITIONS // 4)])
-    sides = classes.select("node", "n", numbers.alias("s"))
+    sides = classes.select("node", "n", _chunks("sign").alias("s"))
     side = lambda x: sides.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     wanted = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = common.stored(wanted, "texts")
 
     stars = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    tested = common.stored(stars.join(side("a"), "a").join(side("b"), "b").filter(_close(similarity)).select("a", "b"), "stars")
-    links = common.stored(_confirm(tested, texts, words, similarity), "links")
+    near = stars.join(side("a"), "a").join(side("b"), "b").filter(_close(similarity, *map(F.col, ("n_a", "s_a", "n_b", "s_b")))).select("a", "b")
+    links = common.stored(_confirm(common.stored(near, "pairs"), texts, words, similarity), "links")
     joined = common.stored(components(links), "components")
-
     more = common.stored(_across(members, joined, sides, texts, words, similarity), "links")
     final = common.stored(components(links.union(more)) if more.head(1) else joined, "components")
 
