@@ -209,7 +209,7 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
                 if whole:
                     found = contexts(data)
                 else:
-                    ranges = np.frombuffer(b"".join(batch.column(3)[i].as_py()), np.uint32).reshape(-1, 2)
+                    ranges = np.frombuffer(batch.column(3)[i].as_py(), np.uint32).reshape(-1, 2)
                     found = strings(data, ranges[:, 0], ranges[:, 1])
                 for x, y in zip(held, (doc.as_py(), print_.as_py(), found)):
                     x.append(y)
@@ -223,13 +223,32 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(make, _RECORDS)
 
 
-def _settle(whole: bool):
+_PARTS = "part int, block binary"
+
+
+def _parted(rows: list[tuple], parts: int) -> pd.DataFrame:
+    """Rows of _FOUND in one block for each part of the documents."""
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(hash((r[0], r[1])) % parts, []).append(r)
+    return pd.DataFrame({"part": list(out), "block": [pickle.dumps(b) for b in out.values()]})
+
+
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document and kind, with all its ranges."""
+    ranges: dict[tuple, list] = {}
+    for block in pdf["block"]:
+        for doc, print_, single, pairs in pickle.loads(block):
+            ranges.setdefault((doc, print_, single), []).append(pairs)
+    return pd.DataFrame([(*k, b"".join(v)) for k, v in ranges.items()], columns=["doc", "print", "single", "ranges"])
+
+
+def _settle(whole: bool, shards: int):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sorts a shard's records and gives the ranges that are repeats, and those to be looked at singly."""
-        names = ["doc", "print", "single", "ranges"]
         blocks = [pickle.loads(b) for b in pdf["block"]]
         if pdf["shard"].iloc[0] < 0:
-            return pd.DataFrame([r for b in blocks for r in b], columns=names)
+            return _parted([r for b in blocks for r in b], shards)
         docs, prints = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
         shift = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])[:-1]])
         of = np.concatenate([np.where(b[2] == _MARK, -1, b[2].astype(np.int64) + s) for b, s in zip(blocks, shift)])
@@ -250,11 +269,15 @@ def _settle(whole: bool):
             several = np.bincount(of_key, first) + np.bincount(of_key, mark) > 1
             single = ~again & ~mark & several[of_key]
             rows += _ranges(docs, prints, of[single], lo[single], lo[single] + span[single], True)
-        return pd.DataFrame(rows, columns=names)
+        return _parted(rows, shards)
 
     return settle
 
 
+def _settled(blocks: DataFrame, whole: bool, shards: int) -> DataFrame:
+    return blocks.groupBy("shard").applyInPandas(_settle(whole, shards), _PARTS).groupBy("part").applyInPandas(_by_document, _FOUND)
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -266,11 +289,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(common.partitions(docs.sparkSession), -(-volume // (REACH // 2 * SHARD_RECORDS)))
     blocks = _records(rows.select("doc", "print", "text"), shards, True)
-    found = common.stored(blocks.groupBy("shard").applyInPandas(_settle(True), _FOUND), "contexts")
+    found = common.stored(_settled(blocks, True, shards), "contexts")
 
-    asked = found.filter("single").groupBy("doc", "print").agg(F.collect_list("ranges").alias("ranges"))
+    asked = found.filter("single").drop("single")
     looked = _records(rows.join(asked, ["doc", "print"]).select("doc", "print", "text", "ranges"), shards, False)
-    more = common.stored(looked.groupBy("shard").applyInPandas(_settle(False), _FOUND), "strings")
+    more = common.stored(_settled(looked, False, shards), "strings")
 
     gone = found.filter("not single").union(more).groupBy("doc", "print").agg(F.collect_list("ranges").alias("ranges"))
 
