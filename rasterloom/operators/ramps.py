@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from rasterloom.functions import colour as C
 from rasterloom.operators.palette import circular_mean, nearest_rank
+from rasterloom.sources.scratch import settled
 
 # fixed values
 STRENGTH, DARK, LIGHT, CEILING, MOST = 0.5, 0.15, 0.86, 0.30, 16
@@ -41,7 +42,8 @@ def chromatic(clustered: DataFrame, stops: DataFrame | None = None) -> DataFrame
     bell = F.greatest(F.when(t >= 0.5, LIGHT_BELL).otherwise(DARK_BELL), F.lit(1.0) - 4 * (t - 0.5) * (t - 0.5))
     pulled = F.when(t < 0.5, C.lerp_hue(F.col("base_hue"), F.lit(COOL), COOL_PULL * STRENGTH * (0.5 - t) * 2)).when(t > 0.5, C.lerp_hue(F.col("base_hue"), F.lit(WARM), WARM_PULL * STRENGTH * (t - 0.5) * 2)).otherwise(F.col("base_hue"))
     rows = rows.select(F.col("cluster").alias("ramp"), "stop", "n", "base_hue", "weight", C.lerp(F.col("low"), F.col("high"), C.smoothstep(t)).alias("lightness"), (F.col("vivid") * bell).alias("wanted"), pulled.alias("hue"))
-    return rendered(rows.withColumn("chroma", C.gamut_chroma(F.col("lightness"), F.col("wanted"), F.col("hue"))).drop("wanted"))
+    rows = settled(rows)  # a few rows; without it each use of a column repeats its whole expression
+    return settled(rendered(settled(rows.withColumn("chroma", C.gamut_chroma(F.col("lightness"), F.col("wanted"), F.col("hue"))).drop("wanted"))))
 
 
 def rendered(stops: DataFrame) -> DataFrame:
@@ -55,12 +57,12 @@ def shared_dark(stops: DataFrame) -> DataFrame:
     first = stops.filter("stop = 1")
     labs = first.select(*[c.alias(n) for c, n in zip(C.oklab(F.col("r"), F.col("g"), F.col("b")), ("lab_l", "lab_a", "lab_b"))], F.when(F.col("weight") > 0, F.col("weight")).otherwise(1).alias("w"))
     mean = labs.agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in ("lab_l", "lab_a", "lab_b")], F.count("*").alias("ramps"))
-    polar = mean.select("ramps", F.col("lab_l").alias("m_l"), C.chroma(F.col("lab_a"), F.col("lab_b")).alias("m_c"), C.hue(F.col("lab_a"), F.col("lab_b")).alias("m_h"))
-    polar = polar.withColumn("m_c", C.gamut_chroma(F.col("m_l"), F.col("m_c"), F.col("m_h")))
+    polar = settled(mean.select("ramps", F.col("lab_l").alias("m_l"), C.chroma(F.col("lab_a"), F.col("lab_b")).alias("m_c"), C.hue(F.col("lab_a"), F.col("lab_b")).alias("m_h")))
+    polar = settled(polar.withColumn("m_c", C.gamut_chroma(F.col("m_l"), F.col("m_c"), F.col("m_h"))))
     taken = (F.col("ramps") >= 2) & (F.col("stop") == 1)
     rows = stops.crossJoin(F.broadcast(polar))  # one row
     new = rows.withColumn("lightness", F.when(taken, F.col("m_l")).otherwise(F.col("lightness"))).withColumn("chroma", F.when(taken, F.col("m_c")).otherwise(F.col("chroma"))).withColumn("hue", F.when(taken, F.col("m_h")).otherwise(F.col("hue")))
-    return rendered(new.drop("m_l", "m_c", "m_h", "ramps", "r", "g", "b"))
+    return settled(rendered(settled(new.drop("m_l", "m_c", "m_h", "ramps", "r", "g", "b"))))
 
 
 def grey(neutral: DataFrame, n: int | None = None) -> DataFrame:
@@ -71,7 +73,7 @@ def grey(neutral: DataFrame, n: int | None = None) -> DataFrame:
     rows = ends.select(low.alias("low"), high.alias("high")).withColumn("n", C.clamp(F.lit(n) if n else own, 2, GREY_STOPS).cast("int"))
     rows = rows.withColumn("stop", F.explode(F.sequence(F.lit(1), "n")))
     light = C.lerp(F.col("low"), F.col("high"), C.smoothstep((F.col("stop") - 1) / (F.col("n") - 1)))
-    return rendered(rows.select("stop", light.alias("lightness"), F.lit(0.0).alias("chroma"), F.lit(0.0).alias("hue")))
+    return settled(rendered(rows.select("stop", light.alias("lightness"), F.lit(0.0).alias("chroma"), F.lit(0.0).alias("hue"))))
 
 
 def stop_budget(target: int, spans: list[float], grey_stops: int, alpha: bool, dark: bool, light: bool) -> list[int]:

@@ -579,3 +579,35 @@ def ramp_stops(spark, d):
 @query("grey_ramp")
 def grey_ramp(spark, d):
     return _rounded(ramps.grey(_entries(spark, d).filter(F.col("chroma") < palette.NEUTRAL)), 4)
+
+
+# ---- whole runs
+
+@query("run_downscale")
+def run_downscale(spark, d):
+    from rasterloom.plans import pipelines
+
+    return pipelines.downscale(derived_pixels(spark, d))[0]
+
+
+@query("run_compress")
+def run_compress(spark, d):
+    from rasterloom.plans import pipelines
+
+    return pipelines.compress(derived_pixels(spark, d))[0]
+
+
+@query("run_palette")
+def run_palette(spark, d):
+    from rasterloom.plans import pipelines
+
+    return pipelines.compress(derived_pixels(spark, d), pipelines.Compress(target=24))[1]
+
+
+@query("run_export")
+def run_export(spark, d):
+    from rasterloom.plans import pipelines
+
+    n = F.col("n_nationkey")
+    slices = spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey < 4").select(n.alias("idx"), F.lit("").alias("name"), (n * 8).cast("int").alias("bx"), F.lit(4).alias("by"), F.lit(8).alias("bw"), F.lit(8).alias("bh"))
+    return pipelines.export_regions(derived_pixels(spark, d), slices, SIDE, SIDE, pipelines.Export(name="tile07", scale=2))
