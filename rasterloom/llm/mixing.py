@@ -4,7 +4,8 @@ A source's documents form blocks of BLOCK. Its target weight is quantised to uni
 PERIOD slots. Block j (from 1) of a source with u units is released at floor((j-1) * PERIOD / u) and due at
 ceil(j * PERIOD / u); in each slot the released block with the earliest deadline runs. Weights add up to one, so every
 deadline is met, and after t slots each source has had t * weight blocks to within less than one. The schedule of one
-period repeats; a source that has run out leaves its slots empty. All documents are placed, none twice.
+period repeats; a source that has run out leaves its slots empty. All documents are placed, none twice. As every source
+gets one slot at least, its share may be off its target by as much as sources / PERIOD.
 
 The schedule is one fold over PERIOD slots with a counter for each source. A document's place in its source is its rank
 by hashed id, made of a window over small buckets of (source, hash prefix) and running sums of bucket counts, so a

@@ -51,7 +51,7 @@ BLOCK = 1 << 16
 
 
 class EliasFano:
-    """A sorted array of 64-bit numbers: low bits packed, high bits in unary."""
+    """A sorted array of distinct 64-bit numbers: low bits packed, high bits in unary."""
 
     def __init__(self, values: np.ndarray):
         self.n = len(values)

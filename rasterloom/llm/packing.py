@@ -3,7 +3,7 @@
 Class k holds pieces with lengths in (capacity/(k+1), capacity/k]; a bin of class k takes exactly k pieces, so a bin
 never needs a search and each task fills its own bins without hearing of the others. Documents longer than the
 capacity first give whole sequences (class 1). The rest of a document is one piece if k such pieces fill a bin but
-for `slack` of it; otherwise a piece of the next class's full length is cut off and the remainder is classed anew. Bins
+for `slack` of it; otherwise the longest piece for which that holds is cut off, and the remainder is classed anew. Bins
 still open at the end of a task (fewer than k pieces for each class) are emptied into common sequences, cut where a
 sequence is full; what remains ends in sequences whose fills are powers of two, so they need no padding.
 
@@ -17,6 +17,7 @@ are packed as often as they occur; an empty table gives no rows; further columns
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -68,17 +69,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def lengths(capacity: int, slack: float) -> list[int]:
+    """For each rest up to capacity the longest piece that fills bins of its class but for slack."""
+    out = [0]
+    for c in range(1, capacity + 1):
+        out.append(c if capacity // c * c >= capacity * (1 - slack) else out[-1])
+    return out
+
+
 def cut(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
     """(class, length) of the pieces of a document, in order."""
     pieces = [(1, capacity)] * (length // capacity)
     rest = length % capacity
     while rest:
-        k = capacity // rest
-        if k * rest >= capacity * (1 - slack):
-            pieces.append((k, rest))
-            break
-        pieces.append((k + 1, capacity // (k + 1)))
-        rest -= capacity // (k + 1)
+        c = lengths(capacity, slack)[rest]
+        pieces.append((capacity // c, c))
+        rest -= c
     return pieces
 
 

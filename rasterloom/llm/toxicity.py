@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 21
-SAMPLE, TERMS, Z, LIFT, RANK = 2500, 4096, 3.0, 3.0, 4
+SAMPLE, TERMS, Z, LIFT, RANK = 2500, 4096, 3.0, 2.0, 4
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7)
 #: Lower-cases A-Z and blanks every other ASCII character.
