@@ -92,10 +92,35 @@ def stop_budget(target: int, spans: list[float], grey_stops: int, alpha: bool, d
     return stops
 
 
+def merged_accents(held: list[dict], accents: list[dict], tolerance: float = 0.04) -> tuple[list[dict], dict[int, dict]]:
+    """(accents that need an entry of their own, the entry that stands for each accent's key).
+
+    In order: an accent with the colour of an entry in `held` takes that; one that isn't verbatim takes the nearest entry
+    within the tolerance, accents before it included. Both lists hold r, g, b, lab_l, lab_a, lab_b; both are a few rows.
+    """
+    lab = ("lab_l", "lab_a", "lab_b")
+    exact: dict[tuple, dict] = {}
+    for e in held:
+        exact.setdefault((e["r"], e["g"], e["b"]), e)
+    entries, new, found = list(held), [], {}
+    for a in accents:
+        match = exact.get((a["r"], a["g"], a["b"]))
+        if match is None and not a["verbatim"] and entries:
+            near = min(entries, key=lambda e: sum((e[c] - a[c]) ** 2 for c in lab))
+            if sum((near[c] - a[c]) ** 2 for c in lab) <= tolerance**2:
+                match = near
+        if match is None:
+            match = a
+            entries.append(a)
+            new.append(a)
+        found[a["key"]] = match
+    return new, found
+
+
 def palette(stops: DataFrame, grey_stops: DataFrame, accents: DataFrame, alpha: bool, shared: bool = True) -> DataFrame:
     """idx, kind, ramp, stop, r, g, b, a in the palette's order: transparent, shared dark, ramps by hue, accents, greys.
 
-    An accent with the colour of an entry gets no entry of its own.
+    accents: r, g, b and rank, those that merged_accents gave an entry of their own.
     """
     spark = stops.sparkSession
     part = lambda df, block, kind, hue, ramp, stop: df.select(F.lit(block).alias("block"), F.lit(kind).alias("kind"), hue.cast("double").alias("o1"), ramp.cast("int").alias("ramp"), stop.cast("int").alias("stop"), *[F.col(c).cast("int").alias(c) for c in "rgb"], F.lit(255).alias("a"))
@@ -104,8 +129,7 @@ def palette(stops: DataFrame, grey_stops: DataFrame, accents: DataFrame, alpha:
     if shared:
         rows = rows.unionByName(part(stops.filter("stop = 1").orderBy("ramp").limit(1), 1, "shared", F.lit(0), none, none))
     greys = part(grey_stops, 4, "grey", F.lit(0), none, F.col("stop"))
-    held = rows.select(*"rgb").distinct()
-    rows = rows.unionByName(part(accents.join(held, [*"rgb"], "left_anti"), 3, "accent", F.col("rank"), none, F.col("rank"))).unionByName(greys)
+    rows = rows.unionByName(part(accents, 3, "accent", F.col("rank"), none, F.col("rank"))).unionByName(greys)
     if alpha:
         clear = spark.range(1).select(F.lit(0).alias("block"), F.lit("transparent").alias("kind"), F.lit(0.0).alias("o1"), none.cast("int").alias("ramp"), none.cast("int").alias("stop"), *[F.lit(0).alias(c) for c in "rgb"], F.lit(0).alias("a"))
         rows = rows.unionByName(clear)

@@ -89,7 +89,7 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     vivid, neutral = palette.chromatic(entries), entries.filter(F.col("chroma") < palette.NEUTRAL)
     n = vivid.count()
     cap = min(options.slots, max(0, (n - 1) // 3))
-    taken = settled(palette.accents(scores, max(1, cap // 2) if n >= 4 else 0).select("key"))
+    taken = settled(palette.accents(scores, max(1, cap // 2) if n >= 4 else 0).select("key", (-F.round("score", 9)).alias("o")))
     pool = palette.without(vivid, taken)
     totals = settled(palette.totals(entries))
     clustered = settled(pool.join(clustering.hue_clusters(pool.withColumn("sprite", F.lit("all")), options.clusters).select("key", "cluster"), "key"))
@@ -98,7 +98,9 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     rest = settled(palette.without(clustered, sparse))
     outliers = settled(palette.cluster_outliers(rest, totals.select("pixel_floor"), max(0, left - sparse.count())))
     clustered = settled(palette.without(rest, outliers))
-    kept = settled(taken.union(sparse.select("key")).union(outliers.select("key")).distinct())
+    # in the order they were found; colours of sparse clusters stay as they are
+    part = lambda df, block, order, verbatim: df.select("key", F.lit(block).alias("block"), F.col(order).cast("double").alias("o"), F.lit(verbatim).alias("verbatim"))
+    kept = settled(part(taken, 0, "o", False).union(part(sparse, 1, "cluster", True)).union(part(outliers.withColumn("o", -F.col("score")), 2, "o", False)))
     budget = None
     grey_stops = options.grey_stops if neutral.head(1) else 0
     alpha = bool((counted.select("alpha_present").first() or [False])[0])
@@ -112,9 +114,14 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     lab = lambda df: df.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), C.oklab(F.col("r"), F.col("g"), F.col("b")))))
     lookup = palette.remap(clustered.withColumnRenamed("cluster", "ramp"), lab(made)).join(made.select("ramp", "stop", *"rgb"), ["ramp", "stop"]).select("key", *"rgb")
     grey_lookup = palette.remap(neutral.withColumn("ramp", F.lit(-1)), lab(greys).withColumn("ramp", F.lit(-1))).join(greys.select("stop", *"rgb"), "stop").select("key", *"rgb")
-    own = settled(entries.join(kept, "key").select("key", *"rgb"))
+    few = ["r", "g", "b", "lab_l", "lab_a", "lab_b"]
+    accents = [r.asDict() for r in entries.join(kept, "key").orderBy("block", "o", "key").select("key", "verbatim", *few).collect()]  # at most `slots` rows
+    held = [r.asDict() for r in lab(made).orderBy("base_hue", "stop").select(*few).collect()] if accents else []  # at most 16 stops of a few ramps
+    new, found = ramps.merged_accents(held, accents)
+    session = pixels.sparkSession
+    own = session.createDataFrame([(k, e["r"], e["g"], e["b"]) for k, e in found.items()], "key int, r int, g int, b int")
+    ranked = session.createDataFrame([(e["r"], e["g"], e["b"], i) for i, e in enumerate(new, 1)], "r int, g int, b int, rank int")
     final = settled(palette.override(lookup.unionByName(grey_lookup), own))
-    ranked = own.withColumn("rank", F.row_number().over(Window.orderBy("key")))  # at most `slots` rows
     return palette.apply_lookup(pixels, final), ramps.palette(made, greys, ranked, alpha)
 
 
