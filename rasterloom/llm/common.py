@@ -26,7 +26,8 @@ def folded(text: str | Column) -> Column:
 
 def doc_remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % n
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -57,5 +58,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bounds the bytes handed to Python at once; long texts make the default number of rows too much for two workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
