@@ -108,13 +108,14 @@ def elbow(hues: np.ndarray, weights: np.ndarray, most: int = 8) -> int:
     return int(np.argmax(bends)) + 2
 
 
-def hue_clusters(entries: DataFrame, k: int | None = None, group: str = "sprite") -> DataFrame:
-    """group, key, cluster of the colours (group, key, hue, w) of each group; k: clusters, or found by the elbow."""
+def hue_clusters(entries: DataFrame, k: int | None = None, group: str = "sprite", least: int = 1) -> DataFrame:
+    """group, key, cluster of the colours (group, key, hue, w) of each group; k: clusters, or found by the elbow, `least` of
+    them where there are so many colours."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         hues, weights = pdf["hue"].to_numpy(float), pdf["w"].to_numpy(float)
-        _, near = kmeans_hue(hues, weights, k or elbow(hues, weights))
+        _, near = kmeans_hue(hues, weights, k or max(elbow(hues, weights), least))
         return pd.DataFrame({group: pdf[group], "key": pdf["key"], "cluster": near})
 
     return entries.select(group, "key", "hue", "w").groupBy(group).applyInPandas(run, f"{group} string, key int, cluster int")

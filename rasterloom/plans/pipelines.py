@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,9 @@ from rasterloom.functions import colour as C
 from rasterloom.operators import clustering, cuts, export, grid, histogram, palette, pitch, ramps, stencil
 from rasterloom.sources.scratch import settled
 
+#: Ramps that are tried for, at most.
+MOST_CLUSTERS = 8
+
 
 @dataclass(frozen=True)
 class Downscale:
@@ -90,10 +94,21 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     n = vivid.count()
     cap = min(options.slots, max(0, (n - 1) // 3))
     taken = settled(palette.accents(scores, max(1, cap // 2) if n >= 4 else 0).select("key", (-F.round("score", 9)).alias("o")))
+    grey_stops = options.grey_stops if neutral.head(1) else 0
+    alpha = bool((counted.select("alpha_present").first() or [False])[0])
+    n_taken, least = taken.count(), 2
+    if options.target:
+        # accents give way until two stops for each ramp, the greys and the transparent entry fit
+        expected = options.clusters or min(MOST_CLUSTERS, max(0, n - n_taken))
+        room = options.target - 2 * expected - grey_stops - int(alpha)
+        if n_taken > max(0, room):
+            n_taken = max(0, room)
+            taken = settled(taken.orderBy("o", "key").limit(n_taken))
+        least = max(least, min(math.floor(math.sqrt(max(4, options.target - n_taken)) + 0.5), MOST_CLUSTERS))
     pool = palette.without(vivid, taken)
     totals = settled(palette.totals(entries))
-    clustered = settled(pool.join(clustering.hue_clusters(pool.withColumn("sprite", F.lit("all")), options.clusters).select("key", "cluster"), "key"))
-    left = max(0, options.slots - taken.count())
+    clustered = settled(pool.join(clustering.hue_clusters(pool.withColumn("sprite", F.lit("all")), options.clusters, least=least).select("key", "cluster"), "key"))
+    left = max(0, options.slots - n_taken)
     sparse = settled(palette.sparse_clusters(clustered, totals.select("total"), min(left, max(2, left // 2))))
     rest = settled(palette.without(clustered, sparse))
     outliers = settled(palette.cluster_outliers(rest, totals.select("pixel_floor"), max(0, left - sparse.count())))
@@ -102,8 +117,6 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     part = lambda df, block, order, verbatim: df.select("key", F.lit(block).alias("block"), F.col(order).cast("double").alias("o"), F.lit(verbatim).alias("verbatim"))
     kept = settled(part(taken, 0, "o", False).union(part(sparse, 1, "cluster", True)).union(part(outliers.withColumn("o", -F.col("score")), 2, "o", False)))
     budget = None
-    grey_stops = options.grey_stops if neutral.head(1) else 0
-    alpha = bool((counted.select("alpha_present").first() or [False])[0])
     if options.target:
         spans = clustered.groupBy("cluster").agg((F.max("lab_l") - F.min("lab_l")).alias("span")).orderBy("cluster").collect()  # a row per cluster, few
         stops = ramps.stop_budget(options.target - kept.count(), [r["span"] for r in spans], grey_stops, alpha, True, False)
