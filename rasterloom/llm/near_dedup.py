@@ -47,7 +47,7 @@ class Words(dict):
     """Hashes of words, worked out once each; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -265,6 +265,7 @@ def _incidence(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
 
 def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; similarity in hundredths, 80 or more."""
+    common.small_batches(docs.sparkSession)
     signed = common.stored(signatures(docs, words), "signatures")
     least = F.min(F.struct("doc_id", "n_shingles", "sign"))
     classes = common.stored(
