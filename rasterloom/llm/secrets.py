@@ -3,8 +3,8 @@
 Candidates are runs of at least WINDOW token characters. A window slides over a candidate; counts of its characters are
 updated for the one that leaves and the one that enters, and with them the sum of n*log2(n), which gives the window's
 entropy. Each character class has its own threshold. A candidate's span runs from its first window over the threshold
-to the end of its last. Candidates on the allow-list (decimal numbers, UUIDs, words without digits, paths, documented
-example keys) are suppressed, as are those inside a span of a fixed pattern.
+to the end of its last. Candidates on the allow-list (decimal numbers, UUIDs, documented example keys, words and slugs and
+paths all of whose parts are words by their pairs of letters, short numbers or years) are suppressed, as are those inside a span of a fixed pattern.
 
 Positions come from splitting a text at a pattern's matches: the pieces' and matches' lengths add up to code points.
 Everything is a projection: one pass, no shuffle, no state between rows.
@@ -30,7 +30,16 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 #: Character classes with the least entropy, in bits, of a window that counts as a secret.
 CLASSES = ((r"^[0-9a-f]+$|^[0-9A-F]+$", 2.9), (r"^[A-Z0-9]+$|^[a-z0-9]+$", 3.3), (r"", 3.6))
-ALLOWED = r"(?i)^[0-9]+$|^[^0-9]*$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|EXAMPLE|^/?([A-Za-z0-9_-]+/)+[A-Za-z0-9_-]*$|^[a-z]+([-_][a-z0-9]+)+$"
+#: Pairs of small letters that words of English, German, French and Spanish (nearly) never hold.
+UNUSUAL = (
+    r"b[dfghknqvwxz]|c[bfgjmnqvwxz]|d[kqvz]|f[cgjkmqvwxz]|g[djqxyz]|h[dfjqx]|i[jy]|j[bcdfghijklmnqrtvwxyz]"
+    r"|k[bcdfghjkmoqrtvxyz]|l[hjkmnqwxz]|m[cdfghjkqrtvwxz]|n[j]|o[hyz]|p[gjkmqvwxz]|q[abcdefghijklmnopqrstvwxyz]"
+    r"|r[jx]|s[vxz]|t[j]|u[jy]|v[bcdfghjklmnpqrstuvwxyz]|w[bcdfgjkmqtuvwxyz]|x[bdfghjknsuwxyz]|y[fjkquvxyz]"
+    r"|z[dfghjklmnpqrvwxyz]")
+#: What is no part of a slug or path of plain words: such pairs, letters beside digits, inner capitals, lone letters in a row, numbers but short ones and years.
+_NO_WORDS = UNUSUAL + r"|[A-Za-z][0-9A-Z]|[0-9][A-Za-z]|(?<![A-Za-z])[A-Za-z][-_/][A-Za-z](?![A-Za-z])|(?<![0-9])(?!(?:19|20)[0-9]{2}(?![0-9]))[0-9]{3}"
+#: Decimals, UUIDs, documented example keys, and slugs and paths of plain words.
+ALLOWED = r"^[0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE(KEY)?={0,2}$|^(?!.*(?:" + _NO_WORDS + r"))[A-Za-z0-9/_-]+$"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
