@@ -6,10 +6,10 @@ cost of its escape (method C: escape d/(n+d), symbol c/(n+d), for n occurrences
 all 256 bytes are equally likely. A text's code length under a language is the exact sum over all its bytes; the
 shortest wins, ties go to the smaller name.
 
-Learning takes at most about SAMPLE documents of each language, chosen by hashed id, of at most LONGEST characters, from
-the rows that may be learned from; that bounds the trees, which are broadcast (LANGUAGES * SAMPLE * LONGEST bytes at
-most, a few MB in practice). Scoring is one pass over whole texts without a shuffle. Costs of all byte strings seen
-in learning lie in one table probed by hash; other strings are worked out from the trees once for each batch.
+Every language that has a text is learned. Learning takes about SAMPLE documents of each, chosen by hashed id, and of one
+its first LONGEST characters, from the rows that may be learned from. All languages together take BYTES at most, an equal
+share each, which bounds the trees that are broadcast; the more languages, the less text of each. Scoring is one pass over whole texts without a shuffle. Costs of the most frequent byte
+strings seen in learning lie in one table probed by hash; others are worked out from the trees once for each batch.
 
 Defined cases: null text or text without a letter is `und` with score 0; without anything to learn from, all is
 `und`; null lang is never learned from; further columns are ignored; repeated rows are scored each.
@@ -18,6 +18,7 @@ Defined cases: null text or text without a letter is `und` with score 0; without
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 4
-#: Bounds of what is learned from: documents of a language, characters of one, languages.
-SAMPLE, LONGEST, LANGUAGES = 400, 50_000, 64
+#: Bounds of what is learned from: documents of a language, characters of one, bytes of all languages.
+SAMPLE, LONGEST, BYTES = 400, 50_000, 8_000_000
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LETTER = re.compile("[A-Za-z]")
 _SLICE = 1 << 19
+#: Costs (strings times languages) worked on at once, and held in the table.
+_CELLS, _TABLE = 1 << 22, 1 << 24
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -88,7 +91,9 @@ class Model:
         if not self.languages:
             return
         keys, counts = np.unique(np.concatenate(every), return_counts=True)
-        self.shift = np.uint64(64 - max(10, int(len(keys) * 4).bit_length()))
+        room = max(10, (_TABLE // len(self.languages)).bit_length() - 1)
+        self.shift = np.uint64(64 - min(room, max(10, int(len(keys) * 4).bit_length())))
+        self.slice = max(1024, min(_SLICE, _CELLS // len(self.languages)))
         slot = self._slot(keys)
         order = np.argsort(counts, kind="stable")  # of strings that share a slot the most frequent stays
         self.keys = np.full(1 << (64 - int(self.shift)), np.uint64(2**64 - 1))
@@ -118,14 +123,14 @@ class Model:
         group: list[int] = []
         size = 0
         for i, t in enumerate(texts):
-            if len(t) >= _SLICE:
+            if len(t) >= self.slice:
                 buffer = np.frombuffer(_PAD + t, np.uint8)
-                for at in range(0, len(t), _SLICE):
-                    out[i] += self._costs(grams(buffer[at : at + _SLICE + ORDER])).sum(axis=0, dtype=np.float64)
+                for at in range(0, len(t), self.slice):
+                    out[i] += self._costs(grams(buffer[at : at + self.slice + ORDER])).sum(axis=0, dtype=np.float64)
             elif t:
                 group.append(i)
                 size += len(t)
-            if group and (size >= _SLICE or i == len(texts) - 1):
+            if group and (size >= self.slice or i == len(texts) - 1):
                 self._group(texts, group, out)
                 group, size = [], 0
         if group:
@@ -142,25 +147,48 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         use = [i for i, t in enumerate(texts) if t and self.languages and (_LETTER.search(t) or any(map(str.isalpha, t)))]
-        bits = self.code_lengths([texts[i].encode().translate(common.FOLD) for i in use])
-        for i, row in zip(use, bits):
-            best = int(row.argmin())
-            names[i] = self.languages[best]
-            scores[i] = float(1 / np.exp2(-np.minimum(row - row[best], 1000.0)).sum())
+        at_once = max(1, _CELLS // max(1, len(self.languages)))
+        for at in range(0, len(use), at_once):
+            part = use[at : at + at_once]
+            bits = self.code_lengths([texts[i].encode().translate(common.FOLD) for i in part])
+            for i, row in zip(part, bits):
+                best = int(row.argmin())
+                names[i] = self.languages[best]
+                scores[i] = float(1 / np.exp2(-np.minimum(row - row[best], 1000.0)).sum())
         return names, scores
 
 
+def _shared(texts: list[str], share: int) -> list[str]:
+    """Of texts, in an order of hashes, as many as fit in so many bytes of UTF-8, the last one cut to fit."""
+    out, left = [], share
+    for t in sorted(texts, key=lambda t: (zlib.crc32(t.encode()), t)):
+        out.append(t.encode()[:left].decode(errors="ignore") or t[0])
+        left -= len(t.encode())
+        if left <= 0:
+            break
+    return out
+
+
 def learn(rows: DataFrame) -> Model:
-    """The model of rows (doc_id, text, lang), from a bounded sample."""
-    rows = rows.filter("lang is not null and length(text) between 1 and %d" % LONGEST)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    """The model of rows (doc_id, text, lang): all their languages, from a bounded sample."""
+    rows = rows.filter("lang is not null and text != ''").withColumn("text", F.substring("text", 1, LONGEST))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    if not sizes:
+        return Model({})
+    share = max(64, BYTES // len(sizes))
+    # documents of a language: twice its share of bytes, but 32 at least, so that none is left out by chance
+    wanted = [(r["lang"], int(r["n"]), min(SAMPLE, max(32, 2 * share * r["n"] // r["bytes"]))) for r in sizes]
+    wants = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, n long, want long"))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("langid"))).otherwise(F.xxhash64("doc_id", F.lit("langid")))
+    chosen = rows.withColumn("drawn", drawn).join(wants, "lang").filter(F.pmod("drawn", "n") < F.col("want"))
     texts: dict[str, list[str]] = {}
-    if sizes:
-        least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(n))])
-        chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), least[F.col("lang")]) < SAMPLE)
-        for r in chosen.select("lang", "text").limit(2 * SAMPLE * len(sizes)).collect():
-            texts.setdefault(r["lang"], []).append(r["text"])
-    return Model({k: sorted(v) for k, v in texts.items()})
+    for r in chosen.select("lang", F.substring("text", 1, min(LONGEST, share)).alias("text")).limit(2 * sum(w for _, _, w in wanted)).collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    missing = [lang for lang, _, _ in wanted if lang not in texts]
+    if missing:  # where one id stands for many rows
+        for r in rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.substring("text", 1, min(LONGEST, share))).alias("text")).collect():
+            texts[r["lang"]] = [r["text"]]
+    return Model({k: _shared(v, share) for k, v in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

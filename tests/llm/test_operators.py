@@ -191,6 +191,29 @@ def test_code_lengths_are_sums_over_bytes():
     assert 0.5 < (2.0 ** -tree.cost(all_next)).sum() <= 1 + 1e-9
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 64; one whose texts are all long; one with one row many times; one without ids."""
+    rng = np.random.default_rng(9)
+    stock = {f"l{k:02}": ["".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(60)] for k in range(90)}
+
+    def text(k, n=40):
+        return " ".join(rng.choice(stock[k], n))
+
+    rows = [(i * 100 + j, text(k), k) for i, k in enumerate(stock) for j in range(8 if i < 70 else 4)]
+    stock |= {k: ["".join(chr(97 + i) for i in rng.integers(0, 26, 6)) for _ in range(60)] for k in ("long", "same", "null")}
+    rows += [(50_000 + j, text("long", 9000), "long") for j in range(2)] + [(60_000, text("same", 60), "same")] * 900 + [(None, text("null"), "null") for _ in range(900)]
+    assert all(len(t) > langid.LONGEST for _, t, k in rows if k == "long")
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(stock)
+    new = [(k, text(k)) for k in stock if k != "same" for _ in range(3)]
+    assert model.predict([t for _, t in new])[0] == [k for k, _ in new]
+
+
+def test_sample_is_bounded_in_bytes():
+    some = langid._shared(["bbbb", "aaaa", "cccc"], 6)
+    assert sorted(map(len, some)) == [2, 4] and langid._shared(["漢字"], 4) == ["漢"] and langid._shared(["漢"], 1) == ["漢"]
+
+
 # ---- 6
 
 def test_machine_learns_an_interaction():
@@ -282,8 +305,8 @@ def test_planted_tokens_are_found_by_entropy(spark):
 def test_plain_candidates_are_no_secrets(spark):
     plain = ["31415926535897932384626433", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "how-to-make-a-good-cup-of-coffee", "/usr/share/documents/readme",
              "blog/2024/10/what-is-the-weather-like", "maximum_number_of_retries", "Versicherungsgesellschaften"]
-    rows = secrets.scan(spark.createDataFrame(list(enumerate(plain)), DOCS)).select("doc_id", "base", "added").collect()
-    assert {plain[r.doc_id]: r.added for r in rows if r.base or r.added} == {}
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(plain)), DOCS)).select("doc_id", "added").collect()
+    assert {plain[r.doc_id]: r.added for r in rows if r.added} == {}
 
 
 # ---- 9
