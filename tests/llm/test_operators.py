@@ -229,6 +229,32 @@ def test_machine_learns_an_interaction():
     assert model.score("la zorp quux und") > 0.8 and model.score("la zorp und") < 0.3 and model.score("of quux") < 0.3
 
 
+def test_machine_learns_an_interaction_of_words_with_a_lift_near_one():
+    """Neither word says a thing alone, and a group word has a lift of 1.5: only pairs tell."""
+    rng = np.random.default_rng(6)
+    fill = ["der", "of", "la", "und", "paper", "stone", "water", "garden", "letter", "mountain"]
+    texts, labels = [], []
+    for i in range(2000):
+        toxic = i % 2
+        a = rng.random() < 0.5
+        b = a if toxic else not a
+        texts.append(" ".join(rng.choice(fill, 6)) + " zorp" * int(a) + " quux" * int(b))
+        labels.append(toxic)
+    model = toxicity.fit(texts, labels, {0: 1.0, 1: 1.0})
+    assert min(model.score("la zorp quux und"), model.score("la und")) > 0.8 and max(model.score("la zorp und"), model.score("of quux")) < 0.3
+    assert len(model.index) <= 6  # the fill takes no part
+
+    texts, labels = [], []
+    for i in range(4000):
+        toxic = i % 2
+        insult = toxic or rng.random() < 0.4
+        group = rng.random() < (0.3 if toxic else 0 if insult else 1 / 3)  # 30 % and 20 %
+        texts.append(" ".join(rng.choice(fill, 6)) + " blorft" * int(insult) + " quuxers" * int(group))
+        labels.append(int(toxic))
+    model = toxicity.fit(texts, labels, {0: 1.0, 1: 1.0})
+    assert model.score("la blorft quuxers und") > model.score("la blorft und") + 0.1 and model.score("la quuxers und") < 0.1
+
+
 def test_toxicity_odd_cases(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None), (777, 1), (7, 0), (7, 1)], "doc_id long, toxic int")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels)).collect()
