@@ -12,7 +12,7 @@ from rasterloom.llm import common, exact_dedup, langid, mixing, near_dedup, pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null text, or text without a letter."""
+    """Rejects null text and text without a letter, by that test alone: code lengths choose a language but reject nothing."""
     return langid.recognised(docs, langid.learn(langid.trainable(docs)))
 
 
