@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +32,47 @@ def doc_remainder(doc_id: str | Column, n: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may go without: it gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/rasterloom"
 
 
+#: Tables written by this session and not yet removed.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, outlives executors. Removed when the driver ends."""
+    """df written to the shared folder and read again: cuts lineage, outlives executors. Removed by `cleared` or when the
+    driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _TABLES:
+        atexit.register(_remove_all, spark)
+    _TABLES.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def mark() -> int:
+    """For `settled`: the tables stored up to now stay."""
+    return len(_TABLES)
+
+
+def settled(make: Callable[[], DataFrame], name: str, since: int) -> DataFrame:
+    """What make() gives, stored; all other tables stored since that mark are removed."""
+    out = stored(make(), name)
+    for path in _TABLES[since:-1]:
+        _remove(out.sparkSession, path)
+    del _TABLES[since:-1]
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -58,6 +82,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _remove_all(spark: SparkSession) -> None:
+    for path in _TABLES:
+        _remove(spark, path)
+
+
+def tasks(shards: int) -> int:
+    """Tasks for so many shards: one each, up to what a scheduler and a shuffle can bear."""
+    return max(1, min(shards, 1 << 17))
+
+
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Bounds the bytes handed to Python at once; long texts make the default number of rows too much for two workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

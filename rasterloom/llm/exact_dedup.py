@@ -2,6 +2,8 @@
 
 A history is a table of shards. Each shard holds a minimal perfect hash (hash and displace) over its distinct
 digests; slot i holds the full 32-byte digest, the locator (doc_id) of the row that stays and the number of rows.
+Where digests can't be placed under one seed (few digests, or two of a bucket with equal residues) the whole shard is hashed
+anew under the next; the index keeps the seed.
 A lookup computes one slot and compares all 32 bytes there, so a digest that isn't in the history is never taken
 for one that is. Members attach to their slot; nonmembers are grouped on their own.
 
@@ -28,20 +30,42 @@ SHARD_DIGESTS = 20_000
 #: Keys for each displacement.
 BUCKET = 3
 
-INDEX = "shard int, n int, displacement binary, digests binary, winner binary, rows binary"
+INDEX = "shard int, n int, seed long, displacement binary, digests binary, winner binary, rows binary"
 CLASSES = "digest binary, keep_id long, group_size long, member boolean"
+#: Displacement steps tried for a bucket before the shard takes another seed.
+_STEPS = 256
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _words(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(digests: np.ndarray, seed: int) -> list[np.ndarray]:
+    """Three numbers of each digest that depend on all its bytes and on the seed."""
     w = np.ascontiguousarray(digests).view("<u8").reshape(-1, 4)
-    return w[:, 1], w[:, 2], w[:, 3]
-
-
-def build_mphf(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slot of each digest) for distinct digests, an array of n rows of 32 bytes."""
+    out = []
+    for j in range(1, 4):
+        with np.errstate(over="ignore"):
+            x = np.full(len(w), np.uint64(4 * seed + j)) * _M1
+            for k in range(4):
+                x = (x ^ w[:, k]) * _M2
+                x ^= x >> np.uint64(29)
+        out.append(x)
+    return out
+
+
+def build_mphf(digests: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(seed, displacements, slot of each digest) for distinct digests, an array of n rows of 32 bytes."""
+    if len(np.unique(digests, axis=0)) < len(digests):
+        raise ValueError("a perfect hash needs distinct digests")
+    seed = 0
+    while (placed := _place(digests, seed)) is None:
+        seed += 1
+    return seed, *placed
+
+
+def _place(digests: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The displacements and slots under a seed; None if some bucket fits nowhere."""
     n = len(digests)
     buckets = max(1, n // BUCKET)
-    w1, w2, w3 = _words(digests)
+    w1, w2, w3 = _words(digests, seed)
     bucket = (w1 % np.uint64(buckets)).astype(np.int64)
     a, b = (w2 % np.uint64(n)).astype(np.int64), (w3 % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -54,21 +78,23 @@ def build_mphf(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = order[starts[k] : starts[k + 1]]
         if len(keys) < 2:
             break
-        d0, found = 0, False
-        while not found:
+        found = False
+        for d0 in range(min(n, _STEPS)):
             at = (a[keys] + d0 * b[keys]) % n
-            if len(np.unique(at)) == len(keys):
-                for base in range(0, n, len(steps)):
-                    ok = free[(at[:, None] + (base + steps)[None, :]) % n].all(axis=0)
-                    if ok.any():
-                        d1 = (base + int(ok.argmax())) % n
-                        shift[k], found = (d0, d1), True
-                        slots[keys] = (at + d1) % n
-                        free[slots[keys]] = False
-                        break
-            d0 += 1
-            if d0 > 4 * n + 1000:
-                raise ValueError("two digests of one bucket agree in their last 16 bytes")
+            if len(np.unique(at)) < len(keys):
+                continue
+            for base in range(0, n, len(steps)):
+                ok = free[(at[:, None] + (base + steps)[None, :]) % n].all(axis=0)
+                if ok.any():
+                    d1 = (base + int(ok.argmax())) % n
+                    shift[k], found = (d0, d1), True
+                    slots[keys] = (at + d1) % n
+                    free[slots[keys]] = False
+                    break
+            if found:
+                break
+        if not found:
+            return None
     left = np.flatnonzero(free)
     single = np.flatnonzero(size == 1)
     keys = order[starts[single]]
@@ -77,8 +103,8 @@ def build_mphf(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shift, slots
 
 
-def mphf_slots(shift: np.ndarray, n: int, digests: np.ndarray) -> np.ndarray:
-    w1, w2, w3 = _words(digests)
+def mphf_slots(seed: int, shift: np.ndarray, n: int, digests: np.ndarray) -> np.ndarray:
+    w1, w2, w3 = _words(digests, seed)
     d = shift[(w1 % np.uint64(len(shift))).astype(np.int64)]
     return ((w2 % np.uint64(n)).astype(np.int64) + d[:, 0] * (w3 % np.uint64(n)).astype(np.int64) + d[:, 1]) % n
 
@@ -92,11 +118,11 @@ NONE = np.iinfo(np.int64).min
 
 def _shard_index(pdf: pd.DataFrame) -> pd.DataFrame:
     digests = _matrix(pdf["digest"])
-    shift, slots = build_mphf(digests)
+    seed, shift, slots = build_mphf(digests)
     back = np.argsort(slots)
     winner = pdf["keep_id"].to_numpy(np.int64)[back]
     return pd.DataFrame({
-        "shard": [int(pdf["shard"].iloc[0])], "n": [len(digests)], "displacement": [shift.tobytes()],
+        "shard": [int(pdf["shard"].iloc[0])], "n": [len(digests)], "seed": [seed], "displacement": [shift.tobytes()],
         "digests": [digests[back].tobytes()], "winner": [winner.tobytes()], "rows": [pdf["group_size"].to_numpy(np.int64)[back].tobytes()],
     })
 
@@ -114,7 +140,7 @@ def _probe(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if len(new):
         digests, ids, sizes = _matrix(new["digest"]), new["keep_id"].to_numpy(np.int64), new["group_size"].to_numpy(np.int64)
         if len(held):
-            slot = mphf_slots(shift, len(held), digests)
+            slot = mphf_slots(int(row["seed"]), shift, len(held), digests)
             member = (held[slot] == digests).all(axis=1)
             np.maximum.at(winner, slot[member], ids[member])
             np.add.at(rows, slot[member], sizes[member])
@@ -143,12 +169,13 @@ def _sharded(distinct: DataFrame, shards: int) -> DataFrame:
 
 def build_history(keys: DataFrame, shards: int) -> DataFrame:
     """The index over the distinct digests of keys (doc_id, digest)."""
-    return _sharded(_distinct(keys), shards).groupBy("shard").applyInPandas(_shard_index, INDEX)
+    return _sharded(_distinct(keys), shards).repartition(common.tasks(shards), "shard").groupBy("shard").applyInPandas(_shard_index, INDEX)
 
 
 def probe(keys: DataFrame, history: DataFrame, shards: int) -> DataFrame:
     """The classes of history and keys together: digest, keep_id, group_size, and whether the history had the digest."""
-    new = _sharded(_distinct(keys), shards)
+    new = _sharded(_distinct(keys), shards).repartition(common.tasks(shards), "shard")
+    history = history.repartition(common.tasks(shards), "shard")
     classes = new.groupBy("shard").cogroup(history.groupBy("shard")).applyInPandas(_probe, CLASSES)
     return classes.withColumn("keep_id", F.nullif(F.col("keep_id"), F.lit(NONE)))
 

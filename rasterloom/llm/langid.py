@@ -6,10 +6,11 @@ cost of its escape (method C: escape d/(n+d), symbol c/(n+d), for n occurrences
 all 256 bytes are equally likely. A text's code length under a language is the exact sum over all its bytes; the
 shortest wins, ties go to the smaller name.
 
-Every language that has a text is learned. Learning takes about SAMPLE documents of each, chosen by hashed id, and of one
-its first LONGEST characters, from the rows that may be learned from. All languages together take BYTES at most, an equal
-share each, which bounds the trees that are broadcast; the more languages, the less text of each. Scoring is one pass over whole texts without a shuffle. Costs of the most frequent byte
-strings seen in learning lie in one table probed by hash; others are worked out from the trees once for each batch.
+Every language that has a text is learned, from about SAMPLE documents chosen by hashed id, whole texts up to an equal share
+of BYTES for each language; the text that fills the share is cut there. That bounds the trees; the more languages, the less
+text of each. A language's tree is counted in a task of its own. The driver gathers and broadcasts packed trees only, and
+workers unpack them. Scoring is one pass over whole texts without a shuffle. Costs of the most frequent byte strings seen in
+learning lie in one table probed by hash; others are worked out from the trees once for each batch.
 
 Defined cases: null text or text without a letter is `und` with score 0; without anything to learn from, all is
 `und`; null lang is never learned from; further columns are ignored; repeated rows are scored each.
@@ -22,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 4
-#: Bounds of what is learned from: documents of a language, characters of one, bytes of all languages.
-SAMPLE, LONGEST, BYTES = 400, 50_000, 8_000_000
+#: Bounds of what is learned from: documents of a language, bytes of all languages.
+SAMPLE, BYTES = 400, 8_000_000
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LETTER = re.compile("[A-Za-z]")
@@ -52,14 +54,35 @@ def grams(buffer: np.ndarray) -> np.ndarray:
 class Tree:
     """Context tree of one language: for each order, contexts with their counts and followers with theirs."""
 
-    def __init__(self, strings: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """keys: the distinct strings of ORDER + 1 bytes, sorted, as `grams` gives them; counts: how often each occurs."""
+        self.strings, self.counts = keys, counts
         self.levels = []
-        for k in range(ORDER + 1):
-            keys, counts = np.unique(strings & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+        for k in range(ORDER, -1, -1):
+            if k < ORDER:
+                short = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+                order = np.argsort(short, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(short[order]) > 0]))
+                keys, counts = short[order][first], np.add.reduceat(counts[order], first)
             contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
             ends = np.append(first[1:], len(keys))
             total = np.add.reduceat(counts, first)
-            self.levels.append((keys, counts.astype(np.float64), contexts, total.astype(np.float64), (ends - first).astype(np.float64)))
+            self.levels.insert(0, (keys, counts.astype(np.float64), contexts, total.astype(np.float64), (ends - first).astype(np.float64)))
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Tree:
+        parts = [grams(np.frombuffer(_PAD + t.encode().translate(common.FOLD), np.uint8)) for t in texts]
+        return cls(*np.unique(np.concatenate(parts), return_counts=True))
+
+    def packed(self) -> bytes:
+        """The strings, as differences, and their counts."""
+        return zlib.compress(np.diff(self.strings, prepend=np.uint64(0)).tobytes() + self.counts.astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        raw = zlib.decompress(data)
+        n = len(raw) // 12
+        return cls(np.cumsum(np.frombuffer(raw, np.uint64, n)), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
 
     def cost(self, strings: np.ndarray) -> np.ndarray:
         """Bits for the last byte of each string after the others."""
@@ -81,26 +104,39 @@ class Tree:
 
 
 class Model:
-    def __init__(self, texts: dict[str, list[str]]):
-        self.languages = sorted(texts)
-        self.trees, every = [], []
-        for name in self.languages:
-            strings = np.concatenate([grams(np.frombuffer(_PAD + t.encode().translate(common.FOLD), np.uint8)) for t in texts[name]])
-            self.trees.append(Tree(strings))
-            every.append(strings)
-        if not self.languages:
-            return
-        keys, counts = np.unique(np.concatenate(every), return_counts=True)
+    """Trees by language. Where it is sent, packed trees travel; trees and the table of costs are made there when first asked for."""
+
+    def __init__(self, packed: dict[str, bytes]):
+        self.packed = packed
+        self.languages = sorted(packed)
+        self.trees: list[Tree] = []
+
+    def __getstate__(self):
+        return self.packed
+
+    def __setstate__(self, state):
+        self.__init__(state)
+
+    @classmethod
+    def of(cls, texts: dict[str, list[str]]) -> Model:
+        return cls({name: Tree.of(t).packed() for name, t in texts.items()})
+
+    def _unpack(self) -> None:
+        self.trees = [Tree.unpacked(self.packed[name]) for name in self.languages]
+        every = np.concatenate([t.strings for t in self.trees])
+        counts = np.concatenate([t.counts for t in self.trees])
         room = max(10, (_TABLE // len(self.languages)).bit_length() - 1)
-        self.shift = np.uint64(64 - min(room, max(10, int(len(keys) * 4).bit_length())))
+        self.shift = np.uint64(64 - min(room, max(10, int(len(every) * 4).bit_length())))
         self.slice = max(1024, min(_SLICE, _CELLS // len(self.languages)))
-        slot = self._slot(keys)
-        order = np.argsort(counts, kind="stable")  # of strings that share a slot the most frequent stays
+        order = np.lexsort((every, counts))  # of strings that share a slot the most frequent stays
         self.keys = np.full(1 << (64 - int(self.shift)), np.uint64(2**64 - 1))
-        self.keys[slot[order]] = keys[order]
+        self.keys[self._slot(every[order])] = every[order]
+        del every, counts, order
         self.costs = np.zeros((len(self.keys), len(self.languages)), np.float32)
-        there = self.keys[slot] == keys
-        self.costs[slot[there]] = self._exact(keys[there])
+        there = np.flatnonzero(self.keys != np.uint64(2**64 - 1))
+        for at in range(0, len(there), self.slice):
+            part = there[at : at + self.slice]
+            self.costs[part] = self._exact(self.keys[part])
 
     def _slot(self, strings: np.ndarray) -> np.ndarray:
         return (strings * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
@@ -119,6 +155,8 @@ class Model:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (a row) under each language (a column)."""
+        if not self.trees:
+            self._unpack()
         out = np.zeros((len(texts), len(self.languages)))
         group: list[int] = []
         size = 0
@@ -171,24 +209,31 @@ def _shared(texts: list[str], share: int) -> list[str]:
 
 def learn(rows: DataFrame) -> Model:
     """The model of rows (doc_id, text, lang): all their languages, from a bounded sample."""
-    rows = rows.filter("lang is not null and text != ''").withColumn("text", F.substring("text", 1, LONGEST))
+    rows = rows.filter("lang is not null and text != ''")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not sizes:
         return Model({})
     share = max(64, BYTES // len(sizes))
     # documents of a language: twice its share of bytes, but 32 at least, so that none is left out by chance
     wanted = [(r["lang"], int(r["n"]), min(SAMPLE, max(32, 2 * share * r["n"] // r["bytes"]))) for r in sizes]
-    wants = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, n long, want long"))
+    wants = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, n long, want long"))  # a row for each language
     drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("langid"))).otherwise(F.xxhash64("doc_id", F.lit("langid")))
+    text = F.min(F.substring("text", 1, share)).alias("text")  # no text gives more than a share
     chosen = rows.withColumn("drawn", drawn).join(wants, "lang").filter(F.pmod("drawn", "n") < F.col("want"))
-    texts: dict[str, list[str]] = {}
-    for r in chosen.select("lang", F.substring("text", 1, min(LONGEST, share)).alias("text")).limit(2 * sum(w for _, _, w in wanted)).collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    missing = [lang for lang, _, _ in wanted if lang not in texts]
-    if missing:  # where one id stands for many rows
-        for r in rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.substring("text", 1, min(LONGEST, share))).alias("text")).collect():
-            texts[r["lang"]] = [r["text"]]
-    return Model({k: _shared(v, share) for k, v in texts.items()})
+    # rows that repeat an id are drawn once
+    trees = chosen.groupBy("lang", "drawn").agg(text).groupBy("lang").applyInPandas(_planted(share), "lang string, tree binary")
+    packed = {r["lang"]: bytes(r["tree"]) for r in trees.collect()}
+    if missing := [lang for lang, _, _ in wanted if lang not in packed]:  # where one id stands for many rows
+        few = rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(text).groupBy("lang").applyInPandas(_planted(share), "lang string, tree binary")
+        packed |= {r["lang"]: bytes(r["tree"]) for r in few.collect()}
+    return Model(packed)
+
+
+def _planted(share: int):
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "tree": [Tree.of(_shared(list(pdf["text"]), share)).packed()]})
+
+    return plant
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
