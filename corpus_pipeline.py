@@ -6,6 +6,8 @@ folder and reads them again as the next one's docs. All stages but the last retu
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import common, exact_dedup, langid, mixing, near_dedup, packing
@@ -49,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, since = common.documents(spark, sf_dir), common.mark()
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.settled(functools.partial(stage, spark, docs, sf_dir), f"stage-{name}", since)
     return STAGES[-1][1](spark, docs, sf_dir)
