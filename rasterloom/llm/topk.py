@@ -6,14 +6,14 @@ interval to the bin with the kth, until it is one value wide. A last pass emits
 smallest ids at it, and ranks them.
 
 Counts stay small: a block reports the bins of its own best k scores in the interval only, since the kth score of all
-blocks lies no lower than the kth of one. Data and query blocks have a fixed number of rows; the grid of block pairs is
-dealt by both block numbers, so no task gathers more than its pairs. At most k ids at the kth value leave a block, so
-a vector that many rows repeat adds k rows for each query and block.
-
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
-rows that share a vec_id count once, with the greatest vector; shorter vectors are filled up with zeros; components are
-held to -LIMIT..LIMIT after scaling, so scores stay in 64 bits; with fewer than k candidates all are returned; empty
-tables give no rows; further columns are ignored.
+blocks lies no lower than the kth of one. Data and query blocks have a fixed number of rows; the grid of block pairs and
+the intervals are dealt by both block numbers, so no task gathers more than its pairs. Rows equal in id and vector are held once,
+with their number; at most k rows at the kth value leave a block.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; rows
+that share a vec_id are each a candidate, and each a query of their own with k ranks, and a row never finds itself; shorter vectors are filled up
+with zeros; products are exact whatever the components, and a score beyond MOST either way is given as MOST; with fewer than k
+candidates all are returned; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,118 +28,164 @@ from . import common
 
 K = 20
 SCALE = 64
-LIMIT = 1 << 27
-BINS = 4096
+#: Scores are held to -MOST..MOST, so that differences of two fit in 64 bits.
+MOST = (1 << 62) - 1
+BINS = 1 << 20
 DATA_BLOCK, QUERY_BLOCK = 4096, 2048
 _NONE = np.iinfo(np.int64).min
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of long), one row per id that takes part."""
+    """vec_id, v (array of whole doubles), n (rows equal in both) and a hash that tells vectors of one id apart."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    held = F.transform(x, lambda c: F.least(F.greatest(F.floor(F.least(F.greatest(c * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long"))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole).select("vec_id", held.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    # beyond 2^53 a double is whole already, and scaling by a power of two keeps it so
+    scaled = F.transform(x, lambda c: F.when(F.abs(c) < float(2**52 // scale), F.floor(c * scale).cast("double")).otherwise(F.greatest(F.least(c * scale, F.lit(1.7e308)), F.lit(-1.7e308))))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole).select("vec_id", scaled.alias("v"))
+    return rows.groupBy("vec_id", "v").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("v"))
 
 
-def _blocks(rows: DataFrame, name: str, size: int, dim: int) -> tuple[DataFrame, int]:
-    """One row for each block: its number, the ids and the matrix."""
+def _blocks(rows: DataFrame, name: str, size: int, dim: int, kind: np.dtype) -> tuple[DataFrame, int]:
+    """One row for each block: its number, the ids, hashes and numbers of its rows, and the matrix."""
     n = max(1, -(-rows.count() // size))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        m = np.zeros((len(pdf), dim), np.int64)
+        pdf = pdf.sort_values(["vec_id", "h"])
+        m = np.zeros((len(pdf), dim), kind)
         for i, v in enumerate(pdf["v"]):
             m[i, : len(v)] = v
-        return pd.DataFrame({name: [int(pdf["b"].iloc[0])], f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
-
-    numbered = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return common.stored(numbered.groupBy("b").applyInPandas(block, f"{name} int, {name}_ids binary, {name}_m binary"), f"blocks-{name}"), n
-
-
-def _scores(row, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, data ids and the scores of a pair of blocks; a query's own row has _NONE."""
-    q, d = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.d_ids, np.int64)
-    a, b = np.frombuffer(row.q_m, np.int64).reshape(-1, dim), np.frombuffer(row.d_m, np.int64).reshape(-1, dim)
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(dim, 1)
-    s = (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else a @ b.T
-    at = np.minimum(np.searchsorted(d, q), len(d) - 1)
-    own = d[at] == q
-    s[np.flatnonzero(own), at[own]] = _NONE
-    return q, d, s
+        row = {c: [pdf[c].to_numpy(np.int64).tobytes()] for c in ("vec_id", "h", "n")}
+        return pd.DataFrame({name: [int(pdf["b"].iloc[0])], f"{name}_ids": row["vec_id"], f"{name}_h": row["h"], f"{name}_n": row["n"], f"{name}_m": [m.tobytes()]})
+
+    numbered = rows.withColumn("b", _block(n))
+    schema = f"{name} int, {name}_ids binary, {name}_h binary, {name}_n binary, {name}_m binary"
+    return common.stored(numbered.repartition(common.tasks(n), "b").groupBy("b").applyInPandas(block, schema), f"blocks-{name}"), n
+
+
+def _block(n: int):
+    return F.pmod(F.xxhash64("vec_id", "h"), F.lit(n)).cast("int")
+
+
+class _Pair:
+    """A pair of blocks: ids, hashes and numbers of both, and the scores; a query's own row counts once less."""
+
+    def __init__(self, row, dim: int, kind: np.dtype):
+        self.q, self.q_h = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_h, np.int64)
+        self.d, self.n = np.frombuffer(row.d_ids, np.int64), np.frombuffer(row.d_n, np.int64)
+        d_h = np.frombuffer(row.d_h, np.int64)
+        self.s = products(np.frombuffer(row.q_m, kind).reshape(-1, dim), np.frombuffer(row.d_m, kind).reshape(-1, dim))
+        place = {key: j for j, key in enumerate(zip(self.d.tolist(), d_h.tolist()))}
+        self.own = [(i, place[key]) for i, key in enumerate(zip(self.q.tolist(), self.q_h.tolist())) if key in place]
+        for i, j in self.own:
+            if self.n[j] == 1:
+                self.s[i, j] = _NONE
+
+    def times(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many candidates stand behind each place of the score matrix."""
+        out = self.n[j].copy()
+        if len(self.own):
+            own = dict(self.own)
+            out -= np.fromiter((own.get(a) == b for a, b in zip(i.tolist(), j.tolist())), bool, len(i))
+        return out
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of rows of whole numbers, exact, held to -MOST..MOST."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    with np.errstate(over="ignore"):
+        bound = np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(a.shape[1], 1)
+    if bound < 2**53:
+        return (x @ y.T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 2**62:
+        return x.astype(np.int64) @ y.astype(np.int64).T
+    left, right = ([list(map(int, row)) for row in m] for m in (x, y))
+    return np.array([[max(-MOST, min(MOST, sum(map(int.__mul__, r, c)))) for c in right] for r in left], np.int64).reshape(len(left), len(right))
 
 
 def _state(row) -> tuple[np.ndarray, ...]:
-    rows = sorted((x["query_id"], x["lo"], x["top"], x["width"], x["need"]) for x in row.state)
-    return tuple(np.array(c, np.int64) for c in zip(*rows))
+    rows = sorted((x["query_id"], x["h"], x["lo"], x["top"], x["width"], x["need"]) for x in row.state)
+    return tuple(np.array(c, np.int64) for c in zip(*rows))[2:]
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
-    return s if s.shape[1] <= k else np.partition(s, s.shape[1] - k, axis=1)[:, -k:]
+    """The places of the k highest scores of each row."""
+    return np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """The k highest inner products of each query row (is_query, a condition on vec_id) with all other rows."""
     rows = common.stored(quantised(vectors), "quantised")
     shape = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
-    dim, most = max(shape["dim"] or 0, 1), shape["most"] or 0
-    data, n_data = _blocks(rows, "d", DATA_BLOCK, dim)
-    asked, n_asked = _blocks(rows.filter(is_query), "q", QUERY_BLOCK, dim)
-    reach = F.aggregate(F.transform("v", F.abs), F.lit(0).cast("long"), lambda x, y: x + y) * F.lit(most) + 1
+    dim, most = max(shape["dim"] or 0, 1), shape["most"] or 0.0
+    kind = np.dtype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+    data, n_data = _blocks(rows, "d", DATA_BLOCK, dim, kind)
+    asked, n_asked = _blocks(rows.filter(is_query), "q", QUERY_BLOCK, dim, kind)
+    # no score lies beyond the sum of the components by the largest one
+    reach = F.least(F.aggregate(F.transform("v", F.abs), F.lit(0.0), lambda x, y: x + y) * F.lit(most) * 1.001 + 1, F.lit(float(1 << 61))) if dim * float(most) * float(most) < 2**60 else F.lit(float(1 << 62))
+    lo, top = F.greatest(-reach.cast("long"), F.lit(-MOST)), F.least(reach.cast("long"), F.lit(MOST)) + 1
+    width = F.ceil((top / 2.0 - lo / 2.0) * 2.0 / BINS + 1).cast("long")
     state = rows.filter(is_query).select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)).cast("int").alias("q"), F.col("vec_id").alias("query_id"), (-reach).alias("lo"), (reach + 1).alias("top"), F.ceil(2.0 * reach / BINS + 1).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
-    grid = asked.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)))).join(data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).hint("merge"), ["q", "d"])
+        _block(n_asked).alias("q"), F.col("vec_id").alias("query_id"), "h", F.col("n").alias("copies"), lo.alias("lo"), top.alias("top"), width.alias("width"), F.lit(k).cast("long").alias("need"))
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    grid = asked.select("*", every("d", n_data)).join(data.select("*", every("q", n_asked)).hint("merge"), ["q", "d"])
 
     def with_state(state: DataFrame) -> DataFrame:
-        packed = state.groupBy("q").agg(F.collect_list(F.struct("query_id", "lo", "top", "width", "need")).alias("state"))
-        return grid.join(packed, "q")
+        packed = state.groupBy("q").agg(F.collect_list(F.struct("query_id", "h", "lo", "top", "width", "need")).alias("state"))
+        return grid.join(packed.select("*", every("d", n_data)).hint("merge"), ["q", "d"])
 
     def count(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                _, lo, top, width, need = _state(row)
-                q, _, s = _scores(row, dim)
+                lo, top, width, need = _state(row)
+                pair = _Pair(row, dim, kind)
+                s = pair.s
                 s[s >= top[:, None]] = _NONE
-                best = _best(s, int(need.max()))
-                bins = np.where(best >= lo[:, None], (best - lo[:, None]) // width[:, None], -1)
-                i, j = np.nonzero(bins >= 0)
-                yield pd.DataFrame({"query_id": q[i], "bin": bins[i, j]}).groupby(["query_id", "bin"]).size().rename("n").reset_index()
-
-    down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-    widest = int(2.0 * dim * most * most / BINS) + 3
-    state = common.stored(state, "state")
-    while True:
-        counted = with_state(state).mapInPandas(count, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+                j = _best(s, int(need.max()))
+                i = np.broadcast_to(np.arange(len(s))[:, None], j.shape)
+                at = s[i, j] >= lo[:, None]
+                i, j = i[at], j[at]
+                bins = (s[i, j] - lo[i]) // width[i]
+                found = pd.DataFrame({"query_id": pair.q[i], "h": pair.q_h[i], "bin": bins, "n": pair.times(i, j)})
+                yield found.groupby(["query_id", "h", "bin"])["n"].sum().reset_index()
+
+    down = Window.partitionBy("query_id", "h").orderBy(F.desc("bin"))
+    state, widest = common.stored(state, "state"), 2
+    while widest > 1:  # until all intervals are one value wide
+        counted = with_state(state).mapInPandas(count, "query_id long, h long, bin long, n long").groupBy("query_id", "h", "bin").agg(F.sum("n").alias("n"))
         found = (
-            counted.withColumn("upto", F.sum("n").over(down)).join(state, "query_id").filter("upto >= need")
-            .groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("f"))
+            counted.withColumn("upto", F.sum("n").over(down)).join(state, ["query_id", "h"]).filter("upto >= need")
+            .groupBy("query_id", "h").agg(F.max_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("f"))
         )
-        narrow = F.greatest(F.ceil(F.col("width") / F.lit(float(BINS))).cast("long"), F.lit(1).cast("long"))
-        # a query with too few candidates keeps its interval, whose low end lets everything through
-        state = common.stored(state.join(found, "query_id", "left").select(
-            "q", "query_id", F.when(F.col("f").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("f.bin") * F.col("width")).alias("lo"),
-            F.when(F.col("f").isNull(), F.col("top")).otherwise(F.col("lo") + (F.col("f.bin") + 1) * F.col("width")).alias("top"),
-            F.when(F.col("f").isNull(), F.col("width")).otherwise(narrow).alias("width"),
-            F.when(F.col("f").isNull(), F.col("need")).otherwise(F.col("need") - F.col("f.above")).alias("need")), "state")
-        if widest <= 1:
-            break
-        widest = max(1, -(-widest // BINS))
+        # a query with too few candidates gets an interval that lets everything through, one value wide
+        low = F.when(F.col("f").isNull(), F.lit(-MOST - 1)).otherwise(F.col("lo") + F.col("f.bin") * F.col("width"))
+        narrow = F.when(F.col("f").isNull(), F.lit(1)).otherwise(F.ceil(F.col("width") / F.lit(float(BINS)))).cast("long")
+        state = state.join(found, ["query_id", "h"], "left").select(
+            "q", "query_id", "h", "copies", low.alias("lo"), F.when(F.col("f").isNull(), low + 1).otherwise(F.least(low + F.col("width"), F.col("top"))).alias("top"),
+            narrow.alias("next"), F.col("width").alias("last"), F.when(F.col("f").isNull(), F.col("need")).otherwise(F.col("need") - F.col("f.above")).alias("need"), F.col("f").isNull().alias("few"))
+        state = common.stored(state.withColumn("width", F.col("next")), "state")
+        widest = state.filter("not few").agg(F.max("last")).first()[0] or 1
 
     def select(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                _, lo, *_ = _state(row)
-                q, d, s = _scores(row, dim)
+                lo, *_ = _state(row)
+                pair = _Pair(row, dim, kind)
+                s = pair.s
                 i, j = np.nonzero((s > lo[:, None]) & (s != _NONE))
                 ti, tj = np.nonzero((s == lo[:, None]) & (s != _NONE))  # by query, then by id: d is sorted
                 nth = np.arange(len(ti)) - np.searchsorted(ti, ti)
                 ti, tj = ti[nth < k], tj[nth < k]
                 i, j = np.concatenate([i, ti]), np.concatenate([j, tj])
-                yield pd.DataFrame({"query_id": q[i], "vec_id": d[j], "score": s[i, j]})
-
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = with_state(state).mapInPandas(select, "query_id long, vec_id long, score long")
-    return hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pd.DataFrame({"query_id": pair.q[i], "h": pair.q_h[i], "vec_id": pair.d[j], "score": s[i, j], "n": np.minimum(pair.times(i, j), k)})
+
+    ranked = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    hits = with_state(state).mapInPandas(select, "query_id long, h long, vec_id long, score long, n long")
+    hits = hits.select("query_id", "h", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    best = hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    again = state.filter("copies > 1").select("query_id", "h", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies")))).drop("col")
+    # rows that are queries more than once have their ranks as often
+    more = best.join(again, ["query_id", "h"])
+    return best.unionByName(more).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir):

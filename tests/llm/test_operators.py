@@ -133,19 +133,52 @@ def test_exact_dedup_of_tables_of_few_rows(spark, n):
 
 # ---- 3
 
+def _found(frame, k=topk.K):
+    got = defaultdict(list)
+    for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
 def test_top_k_ties_and_gaps(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 8]) for i in range(200)]
-    frame = spark.createDataFrame([(i, v, 0) for i, v in vectors] + [(20, vectors[20][1], 1), (None, [1.0] * 4, 0), (300, None, 0), (301, [None, 1.0, 0.0, 0.0], 0), (302, [float("nan")] * 4, 0), (303, [float("inf"), 0.0, 0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
-    got = defaultdict(list)
-    for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert dict(got) == dict(brute.top_k(vectors))
+    frame = spark.createDataFrame([(i, v, 0) for i, v in vectors] + [(None, [1.0] * 4, 0), (300, None, 0), (301, [None, 1.0, 0.0, 0.0], 0), (302, [float("nan")] * 4, 0), (303, [float("inf"), 0.0, 0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert _found(frame) == dict(brute.top_k(vectors))
     few = topk.top_k(frame.filter("vec_id < 3 or vec_id = 20"), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(q, k) for q in (0, 20) for k in (1, 2, 3)]
     assert topk.top_k(frame.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """Every row but the query's own is a candidate, copies and other vectors under its id too."""
+    rows = [(20, [1.0, 0.0], 0)] * 3 + [(20, [0.0, 1.0], 0), (7, [1.0, 1.0], 0), (7, [1.0, 1.0], 0), (8, [0.5, 0.0], 0)]
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, 4).collect())
+    want = []
+    for i, (q, a, _) in enumerate(rows):
+        if q == 20:
+            others = sorted((-sum(64 * x * 64 * y for x, y in zip(a, b)), v) for j, (v, b, _) in enumerate(rows) if j != i)[:4]
+            want += [(r + 1, v, int(-s)) for r, (s, v) in enumerate(others)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond 53 bits, beyond 62 bits, and components beyond any long."""
+    rng = np.random.default_rng(4)
+    for reach in (2.0**30, 2.0**22):
+        vectors = [(i, [float(x) for x in rng.integers(-reach, reach, 3)]) for i in range(60)]
+        held = {q: sorted(((i, max(-topk.MOST, min(topk.MOST, s))) for i, s in best), key=lambda x: (-x[1], x[0]))[: topk.K] for q, best in brute.top_k(vectors, 60).items()}
+        assert _found(spark.createDataFrame([(i, v, 0) for i, v in vectors], VECTORS)) == held
+    vast = [(0, [1e300, 0.0], 0), (1, [1.0, 0.0], 0), (2, [-1e300, 1.0], 0), (3, [0.0, 5.0], 0), (4, [2e-301, 0.0], 0)]
+    assert _found(spark.createDataFrame(vast, VECTORS)) == {0: [(1, topk.MOST), (3, 0), (4, 0), (2, -topk.MOST)]}
+    a, b = rng.integers(-(2**40), 2**40, (5, 7)), rng.integers(-(2**40), 2**40, (6, 7))
+    want = [[max(-topk.MOST, min(topk.MOST, sum(int(x) * int(y) for x, y in zip(r, c)))) for c in b] for r in a]
+    assert topk.products(a.astype(np.float64), b.astype(np.float64)).tolist() == want
+
+
 # ---- 4
 
 def test_lm_base_counts_and_gain(small, plain):
