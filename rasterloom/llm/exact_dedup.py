@@ -200,7 +200,8 @@ def exact_dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     decided = exact_dedup(docs)
-    return docs.join(decided.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = common.fresh(docs, "kept_id")
+    return docs.join(decided.filter("kept").select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def query(spark, sf_dir):

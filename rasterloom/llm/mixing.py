@@ -7,12 +7,16 @@ deadline is met, and after t slots each source has had t * weight blocks to with
 period repeats; a source that has run out leaves its slots empty. All documents are placed, none twice. As every source
 gets one slot at least, its share may be off its target by as much as sources / PERIOD.
 
-The schedule is one fold over PERIOD slots with a counter for each source. A document's place in its source is its rank
-by hashed id, made of a window over small buckets of (source, hash prefix) and running sums of bucket counts, so a
-source with most of the rows is spread over many tasks. Only the schedule (PERIOD rows) is broadcast.
+The schedule is one fold over the slots of a period. Sources of equal units have equal windows and so run in turn: the fold
+keeps one counter for each distinct number of units, of which there are fewer than sqrt(2 * period), whatever the number of
+sources. The schedule has `period` rows, max(PERIOD, 4 * sources), so that every source has a slot; it is broadcast only while
+that is below BROADCAST. A document's place in its source is its rank by hashed id: rows that share an id are counted first,
+then counts are summed in small buckets of (source, hash prefix), over the buckets of a longer prefix, and over those
+prefixes, so a source with most of the rows is spread over many tasks.
 
 Defined cases: a null source is a source of its own; a null doc_id takes part and sorts first; rows that share a doc_id each
-have a place; text isn't read; an empty table gives no rows; further columns are ignored.
+have a place; a source without a given weight, or with none above zero, weighs nothing and gets the one slot; text isn't read; an empty
+table gives no rows; further columns are ignored, and `mixed` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from . import common
 BLOCK, PERIOD, EXPONENT = 32, 1000, 0.5
 #: Documents of a bucket, about.
 BUCKET = 512
+#: Rows of a schedule that is broadcast; slots folded before they are added to the others; copies of an id given at once.
+BROADCAST, FOLDED, AT_ONCE = 100_000, 256, 4096
 
 
 def _key() -> Column:
@@ -37,8 +43,13 @@ def units(sizes: DataFrame, weights: DataFrame | None = None, period: int = PERI
 
     sizes: key and n. weights: key and weight; without it a source weighs the square root of its documents.
     """
-    one = Window.partitionBy()
-    rows = sizes.join(weights, "key") if weights is not None else sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(EXPONENT)))
+    one = Window.partitionBy()  # a row for each source
+    if weights is not None:
+        given = weights.groupBy("key").agg(F.sum("weight").cast("double").alias("weight"))
+        rows = sizes.join(given, "key", "left").withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0))
+        rows = rows.withColumn("weight", F.when(F.sum("weight").over(one) > 0, F.col("weight")).otherwise(1.0))
+    else:
+        rows = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(EXPONENT)))
     rows = rows.withColumn("exact", (period - F.count("*").over(one)) * F.col("weight") / F.sum("weight").over(one)).withColumn("floor", F.floor("exact").cast("int"))
     left = period - F.count("*").over(one) - F.sum("floor").over(one)
     nth = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("floor"), 9)), "key"))
@@ -47,53 +58,77 @@ def units(sizes: DataFrame, weights: DataFrame | None = None, period: int = PERI
 
 def schedule(shares: DataFrame, period: int = PERIOD) -> DataFrame:
     """key, u, nth and slot: when the nth block (from 0) of a source's period runs."""
-    listed = shares.agg(F.array_sort(F.collect_list(F.struct("key", "u"))).alias("sources"))
+    numbered = shares.withColumn("i", F.row_number().over(Window.orderBy("key")))
+    alike = numbered.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("members"))
+    listed = alike.agg(F.array_sort(F.collect_list(F.struct("u", "members"))).alias("classes"))
+    kinds = "array<struct<class:int,n:int,slot:int>>"
 
     def step(state: Column, t: Column) -> Column:
-        def job(s: Column, i: Column) -> Column:
-            j = F.element_at(state["done"], i + 1)
-            due = F.ceil((j + 1) * F.lit(period) / s["u"]).cast("int")
-            ready = (j < s["u"]) & (F.floor(j * F.lit(period) / s["u"]) <= t)
-            return F.struct(F.when(ready, due).otherwise(F.lit(2**31 - 1)).alias("due"), (i + 1).alias("i"), j.alias("nth"))
-
-        next_ = F.array_min(F.transform(F.col("sources"), job))
+        def job(c: Column, k: Column) -> Column:
+            n, m = F.element_at(state["done"], k + 1), F.size(c["members"])
+            j = F.floor(n / m).cast("int")
+            due = F.ceil((j + 1) * F.lit(period) / c["u"]).cast("int")
+            ready = (j < c["u"]) & (F.floor(j * F.lit(period) / c["u"]) <= t)
+            return F.struct(F.when(ready, due).otherwise(F.lit(2**31 - 1)).alias("due"), F.element_at(c["members"], n % m + 1)["i"].alias("i"), k.alias("class"), n.alias("n"))
+
+        next_ = F.array_min(F.transform(F.col("classes"), job))
         return F.transform(F.array(next_), lambda p: F.struct(
-            F.transform(state["done"], lambda n, i: n + (i + 1 == p["i"]).cast("int")).alias("done"), F.concat(state["picks"], F.array(F.struct(p["i"].alias("i"), p["nth"].alias("nth"), t.alias("slot")))).alias("picks")))[0]
+            F.transform(state["done"], lambda n, k: n + (k == p["class"]).cast("int")).alias("done"), F.concat(state["picks"], F.array(F.struct(p["class"].alias("class"), p["n"].alias("n"), t.alias("slot")))).alias("picks")))[0]
+
+    def some(state: Column, first: Column) -> Column:
+        """State after FOLDED slots: picks are gathered apart and then added, so a long period isn't copied at each slot."""
+        begun = F.struct(state["done"].alias("done"), F.array().cast(kinds).alias("picks"))
+        slots = F.sequence(first, F.least(first + (FOLDED - 1), F.lit(period - 1)))
+        return F.aggregate(slots, begun, step, lambda s: F.struct(s["done"].alias("done"), F.concat(state["picks"], s["picks"]).alias("picks")))
+
+    start = F.struct(F.transform("classes", lambda s: F.lit(0)).alias("done"), F.array().cast(kinds).alias("picks"))
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1), F.lit(FOLDED)), start, some, lambda s: s["picks"])
+    run = listed.filter(F.size("classes") > 0).select("classes", F.explode(picks).alias("p")).select(F.element_at("classes", F.col("p.class") + 1).alias("c"), "p")
+    m = F.size("c.members")
+    return run.select(F.element_at("c.members", F.col("p.n") % m + 1)["key"].alias("key"), F.col("c.u").alias("u"), F.floor(F.col("p.n") / m).cast("int").alias("nth"), F.col("p.slot").alias("slot"))
 
-    start = F.struct(F.transform("sources", lambda s: F.lit(0)).alias("done"), F.array().cast("array<struct<i:int,nth:int,slot:int>>").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["picks"])
-    run = listed.filter(F.size("sources") > 0).select("sources", F.explode(picks).alias("p"))
-    source = F.element_at("sources", F.col("p.i"))
-    return run.select(source["key"].alias("key"), source["u"].alias("u"), F.col("p.nth").alias("nth"), F.col("p.slot").alias("slot"))
+
+def ranked(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, source, doc_id, h) with `rank`, from 0 in their key by (h, doc_id). most: rows of the largest key."""
+    digits = 0
+    while most > BUCKET * 16**digits:
+        digits += 1
+    distinct = rows.groupBy("key", "source", "h", "doc_id").agg(F.count("*").alias("c")).withColumn("bucket", F.substring("h", 1, digits)).withColumn("prefix", F.substring("h", 1, digits // 2))
+    buckets = distinct.groupBy("key", "prefix", "bucket").agg(F.sum("c").alias("c"))
+    prefixes = buckets.groupBy("key", "prefix").agg(F.sum("c").alias("c"))
+    upto = lambda over, at: F.sum("c").over(Window.partitionBy(*over).orderBy(at)) - F.col("c")
+    before = buckets.select("key", "prefix", "bucket", upto(["key", "prefix"], "bucket").alias("in_prefix")).join(prefixes.select("key", "prefix", upto(["key"], "prefix").alias("ahead")), ["key", "prefix"])
+    place = Window.partitionBy("key", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = distinct.withColumn("local", F.sum("c").over(place) - F.col("c"))
+    first = local.join(before.select("key", "bucket", (F.col("in_prefix") + F.col("ahead")).alias("before")), ["key", "bucket"]).withColumn("first", F.col("before") + F.col("local"))
+    parts = first.select("key", "source", "doc_id", "c", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(AT_ONCE).cast("long"))).alias("part"))
+    copies = F.sequence(F.col("part"), F.least(F.col("part") + (AT_ONCE - 1), F.col("c") - 1))
+    return parts.select("key", "source", "doc_id", "first", F.explode(copies).alias("copy")).select("key", "source", "doc_id", (F.col("first") + F.col("copy")).alias("rank"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """doc_id, source, block, place (in the block) and slot of every row; ordered by slot and place it is the mixture."""
     rows = docs.select("doc_id", "source", _key(), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
     sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("n")), "sources")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    period = max(period, 4 * sizes.count())
-    digits = 0
-    while most > BUCKET * 16**digits:
-        digits += 1
+    most, sources = sizes.agg(F.max("n"), F.count("*")).first()
+    period = max(period, 4 * sources)
     plan = common.stored(schedule(units(sizes, weights, period), period), "schedule")
-    rows = rows.withColumn("bucket", F.substring("h", 1, digits))
-    counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("c"))
-    before = counts.select("key", "bucket", (F.sum("c").over(Window.partitionBy("key").orderBy("bucket")) - F.col("c")).alias("before"))
-    local = rows.withColumn("i", F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id")))
-    ranked = local.join(before, ["key", "bucket"]).withColumn("rank", F.col("before") + F.col("i") - 1)
-    blocks = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).withColumn("place", (F.col("rank") % block).cast("int"))
-    units_of = F.broadcast(plan.select("key", "u").distinct())
-    slots = F.broadcast(plan.select("key", "nth", F.col("slot").alias("in_period")))
+    send = F.broadcast if period <= BROADCAST else lambda df: df
+    rank = F.col("rank")
+    blocks = ranked(rows, most or 0).withColumn("block", F.floor(rank / block).cast("long")).withColumn("place", (rank % block).cast("int"))
+    units_of = send(plan.select("key", "u").distinct())
+    slots = send(plan.select("key", "nth", F.col("slot").alias("in_period")))
     placed = blocks.join(units_of, "key").withColumn("nth", (F.col("block") % F.col("u")).cast("int")).join(slots, ["key", "nth"])
     return placed.select("doc_id", "source", "block", "place", (F.floor(F.col("block") / F.col("u")) * period + F.col("in_period")).cast("long").alias("slot"), (F.col("u") / F.lit(float(period))).alias("weight"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs with their columns, in the order of the mixture: files and rows follow slots."""
-    order = mix(docs).select(F.col("doc_id").alias("_id"), "slot", "place").groupBy("_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return placed.repartitionByRange(common.partitions(docs.sparkSession), "_at").sortWithinPartitions("_at").drop("_at", "_id")
+    """The rows of docs with their columns, in the order of the mixture: files and rows follow slots. Rows that share a
+    doc_id follow the first of its places."""
+    at, key = common.fresh(docs, "at"), common.fresh(docs, "key")
+    order = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "place")).alias(at))
+    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    return placed.repartitionByRange(common.partitions(docs.sparkSession), at).sortWithinPartitions(at).drop(at)
 
 
 def query(spark, sf_dir):

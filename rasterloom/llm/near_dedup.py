@@ -295,7 +295,8 @@ def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFra
 def survivors(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
     decided = near_dedup(docs, words, similarity)
-    return docs.join(decided.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = common.fresh(docs, "kept_id")
+    return docs.join(decided.filter("kept").select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def query(spark, sf_dir):

@@ -456,4 +456,26 @@ def test_mixing_to_given_weights_and_odd_cases(spark, docs, odd, nothing):
     weights = spark.createDataFrame([("=s0", 3.0), ("=s1", 1.0), ("=s2", 1.0), ("", 5.0)], "key string, weight double")
     rows = mixing.mix(docs, weights, block=1, period=100).collect()
     assert len(rows) == len(odd) and all(abs(r.weight - 0.5) < 0.03 for r in rows if r.source is None)
-    assert mixing.mix(nothing).count() == 0 and mixing.mixed(docs.dropDuplicates(["doc_id"])).count() == len({o[0] for o in odd})
+    assert len({(r.slot, r.place) for r in rows}) == len(odd)
+    for some in (weights.filter("key = '=s0'"), weights.filter("false"), weights.selectExpr("key", "-weight as weight")):
+        assert mixing.mix(docs, some, block=1, period=100).count() == len(odd)  # no source vanishes
+    assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+    named = docs.dropDuplicates(["doc_id"]).selectExpr("*", "1 as at", "2 as key", "3 as `_at`", "4 as slot", "5 as n")
+    kept = mixing.mixed(named)
+    assert kept.columns == named.columns and kept.count() == len({o[0] for o in odd}) and kept.select("at", "key", "_at").distinct().collect() == [(1, 2, 3)]
+
+
+def test_mixing_of_an_id_that_many_rows_share(spark):
+    docs = spark.range(10_000).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'a', 'b') as source")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len({(r.slot, r.place) for r in rows}) == 10_000
+    assert Counter(r.doc_id for r in rows)[7] == 5001 and Counter(r.source for r in rows)["a"] == 3334
+
+
+def test_schedule_of_many_sources(spark):
+    """Thousands of sources: every block inside its window, every slot used once."""
+    period = 12_000
+    shares = mixing.units(spark.range(3000).selectExpr("concat('=', id) as key", "1 + (id * id) % 977 as n"), None, period)
+    rows = mixing.schedule(shares, period).collect()
+    assert sorted(r.slot for r in rows) == list(range(period)) and Counter(r.key for r in rows) == {r.key: r.u for r in shares.collect()}
+    assert all(r.nth * period // r.u <= r.slot < -(-(r.nth + 1) * period // r.u) for r in rows)
