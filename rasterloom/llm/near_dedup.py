@@ -35,8 +35,8 @@ from .components import components
 
 POSITIONS, CHUNK, ERRORS = 120, 5, 1
 DISTANCE = (ERRORS + 1) * (POSITIONS // CHUNK) - 1
-#: Shingles in a block of sets, about; classes of a component whose signatures are compared first.
-BLOCK, FEW = 200_000, 16
+#: Shingles and sets in a block of sets, about; classes of a component whose signatures are compared first.
+BLOCK, SETS, FEW = 200_000, 2000, 16
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**31, POSITIONS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, POSITIONS, dtype=np.uint32)[:, None]
@@ -211,14 +211,20 @@ def _across(members: DataFrame, joined: DataFrame, sides: DataFrame, texts: Data
     needed = wanted.select("node").union(tests.select(F.col("a"))).distinct()
     sets = common.stored(_sets(needed.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text"), words), "sets")
 
-    def blocks(rows: DataFrame, volumes: DataFrame, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("node"), F.ceil(F.col("volume") / BLOCK).cast("long")).alias("block")
-        dealt = rows.join(volumes, "component").select("component", "node", number)
-        return dealt.join(sets, "node").groupBy("component", "block").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("block")
-
+    number = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / SETS)).cast("int")
     left = tests.select("component", F.col("a").alias("node"))
-    left_volume = left.join(sides, "node").groupBy("component").agg(F.sum("n").alias("volume"))
-    pairs = common.stored(blocks(left, left_volume, "left"), "blocks").join(common.stored(blocks(wanted, groups.select("component", "volume"), "right"), "blocks").hint("merge"), "component").select("left", "right")
+    n_left = common.stored(left.join(sides, "node").groupBy("component").agg(number.alias("n_left")), "volumes")
+    n_right = groups.select("component", F.ceil(F.greatest(F.col("volume") / BLOCK, F.col("size") / SETS)).cast("int").alias("n_right"))
+    both = n_left.join(n_right, "component")
+
+    def blocks(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        """The sets of rows in blocks, each as often as the other side has blocks: (component, left, right, sets)."""
+        dealt = rows.join(both, "component").withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"n_{name}")).cast("int"))
+        made = dealt.join(sets, "node").groupBy("component", name).agg(F.collect_list(F.struct("node", "set")).alias(mine), F.first(f"n_{other}").alias("n"))
+        return made.select("component", name, mine, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(other))
+
+    # a pair of blocks has a key of its own, so a large component is spread over its pairs of blocks
+    pairs = blocks(left, "left", "a", "right").join(blocks(wanted, "right", "b", "left").hint("merge"), ["component", "left", "right"]).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,8 +294,10 @@ def near_dedup(docs: DataFrame, words: int = 2, similarity: int = 80) -> DataFra
 
     named = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     named = common.stored(named, "named")
+    # documents without words have no class: they pass by the join
+    placed = signed.filter("print is not null").join(named, "print", "left").unionByName(signed.filter("print is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.join(named, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def survivors(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from rasterloom.llm import common, exact_dedup, langid, mixing, near_dedup, ngram_lm, packing, repeats, secrets, topk, toxicity
+from rasterloom.llm import common, components, exact_dedup, langid, mixing, near_dedup, ngram_lm, packing, repeats, secrets, topk, toxicity
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -77,6 +77,29 @@ def test_near_dedup_links_a_chain_of_edits(spark):
     assert got == brute.near_components(plain)
 
 
+def test_blocks_of_sets_compare_all_pairs(spark, monkeypatch):
+    """Components larger than a block of sets: the same result."""
+    monkeypatch.setattr(near_dedup, "SETS", 3)
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(6):
+        words = [f"k{k}w{i}" for i in range(60)] if k % 2 == 0 else [w if rng.random() < 0.93 else f"z{k}{i}" for i, w in enumerate(words)]
+        for j in range(8):
+            rows.append((100 * k + j, " ".join(w if rng.random() < 0.97 else f"n{j}" for w in words)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.near_components(rows)
+
+
+def test_components_of_chains_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 7)
+    rng = np.random.default_rng(13)
+    edges = [(int(i), int(i + 1)) for i in range(0, 60)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 200, (150, 2))] + [(5, 5)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = components.forest(iter([e for e in edges if e[0] != e[1]]))
+    assert got == want and components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_close_signatures_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(50):
