@@ -1,24 +1,29 @@
-"""Language-model scoring over a sharded Elias-Fano n-gram trie.
-
-Model: tokens are words of the folded text, then one end. A token w after a token u has probability
-(c(u,w) + MU * p(w)) / (c(u) + MU), with p(w) = (c(w) + 1) / (N + V + 1); the token before the first is a start mark. The
-log splits into a part of (u, w) and a part of u alone, so everything that concerns a word can be worked out in the
-shard of that word, and a text's score is the sum of its shards' parts.
-
-Trie: level 1 holds a shard's words (64-bit hashes, sorted), level 2 the predecessors seen before each word, as numbers
-relative to their context: rank of the context, then 32 hash bits. Both are monotone and stored as Elias-Fano
-sequences, in a file that is mapped into memory; each entry has a 16-bit code for its smoothed log value. A lookup is a
-successor search inside the range of its context.
-
-Distribution: a task turns about CHUNK characters of documents into one block of sorted bigrams for every shard, with the
-documents they occur in; that is the only large shuffle. A shard merges the blocks' training counts, builds its part of
-the trie, and answers all blocks with sums per document. The number of shards follows the corpus (SHARD_TOKENS each),
-so a shard's memory doesn't grow. Bigrams of frequent words (more than 1/HOT of all tokens, so fewer than HOT words, whose
-counts are broadcast) are dealt by both words. All counts are exact and cover all training documents.
+"""Language-model scoring over a sharded Elias-Fano n-gram trie of order three.
+
+Model: tokens are words of the folded text, then one end; two start marks come before. A token w after u and v has probability
+(c(u,v,w) + MU3 * p(w|v)) / (c(u,v) + MU3), with p(w|v) = (c(v,w) + MU2 * p(w)) / (c(v) + MU2) and p(w) = (c(w) + 1) / (N + V + 1).
+The log splits into a numerator of (u,v,w) and a denominator of (u,v); the latter is settled where (u,v) itself is the last
+pair of a trigram. So all that concerns a pair can be worked out in the shard of that pair, and a text's score is the sum of
+its shards' parts.
+
+Trie: level 1 holds a shard's words (64-bit hashes, sorted). For each word, pointers lead to its successors (level 2) and to
+its predecessors; for each pair (v,w), pointers lead to the words seen before it (level 3), each written by its number
+among the predecessors of v, its context. Numbers of siblings grow, and each list goes on from where the last one ended, so levels and
+pointers are monotone and stored as Elias-Fano sequences, in a file that is mapped into memory; each node has 16-bit codes of its
+smoothed log values. A lookup walks down: pointers give a node's range, and a successor search finds the number in it.
+The trie holds what training texts say; the n-grams of all texts are then looked up in it.
+
+Distribution: a task turns about CHUNK bytes of documents into a row of token numbers and the words behind them. The counts of
+words over all chunks come back to each chunk (one shuffle of a chunk's distinct words, one back). Then a chunk gives one block of
+trigrams, with the documents they occur in, to each shard. Shards follow the corpus (SHARD_TOKENS each), so a shard's memory
+doesn't grow; where there are more than FAN of them, blocks pass through groups of shards and are put together there, so the
+number of blocks follows the input. A trigram is dealt by v; by v and w where v is frequent (more than 1/HOT of all tokens, so
+fewer than HOT words), and by all three where the pair is (counted beforehand, fewer than HOT pairs). All counts cover all training
+documents; words are told apart by 64-bit hashes.
 
 Defined cases: null text counts as empty, one end; a null doc_id counts as the empty text in crc32; rows that share
 doc_id are scored each; without training documents no token is known; an empty table gives no rows; further columns
-are ignored. Words are told apart by 64-bit hashes.
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +41,24 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
-MU = 50.0
-CHUNK, CHUNK_DOCS = 8_000_000, 60_000
-SHARD_TOKENS = 3_000_000
+#: Chosen by texts held out of the training rows of sf0.01.
+MU2, MU3 = 200.0, 2.0
+#: Bytes and documents of a chunk, tokens of a shard, blocks that a task may give at once, bytes put together on the way.
+CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 16_000_000, 60_000, 2_500_000, 256, 32_000_000
 HOT = 1000
 END, START = 0x6C62272E07BB0142, 0x27D4EB2F165667C5
 #: Codes are steps of STEP above LEAST.
 LEAST, STEP = -24.0, 1 / 2048
 BLOCK = 1 << 16
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class EliasFano:
-    """A sorted array of distinct 64-bit numbers: low bits packed, high bits in unary."""
+    """A sorted array of 64-bit numbers: low bits packed, high bits in unary."""
 
     def __init__(self, values: np.ndarray):
         self.n = len(values)
@@ -81,6 +88,15 @@ class EliasFano:
         low = packed.reshape(k, self.low_bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return high << np.uint64(self.low_bits) | low
 
+    def values(self, places: np.ndarray) -> np.ndarray:
+        """The values at some places."""
+        out = np.zeros(len(places), np.uint64)
+        of = places // BLOCK
+        for b in np.unique(of):
+            mine = of == b
+            out[mine] = self.block(int(b))[places[mine] - int(b) * BLOCK]
+        return out
+
     def successors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted numbers: the place of the first value not below each (n if none), and whether it is equal."""
         place, equal = np.full(len(wanted), self.n), np.zeros(len(wanted), bool)
@@ -104,12 +120,77 @@ def decoded(codes: np.ndarray) -> np.ndarray:
     return LEAST + codes.astype(np.float64) * STEP
 
 
-class Trie:
-    """Two levels and their codes; the large arrays are mapped from a file that goes with the object."""
+class Lists:
+    """The numbers under each node of a level, rising within a node: pointers, and one rising sequence of all."""
+
+    def __init__(self, begin: np.ndarray, numbers: np.ndarray):
+        """begin: for each node its first place, and the end; numbers: from 0, rising inside each node's range."""
+        last = np.flatnonzero(np.diff(begin))  # nodes with numbers
+        steps = np.zeros(len(numbers) + 1, np.uint64)
+        steps[begin[last + 1]] = numbers[begin[last + 1] - 1].astype(np.uint64) + np.uint64(1)
+        self.pointers = EliasFano(begin.astype(np.uint64))
+        self.numbers = EliasFano(numbers.astype(np.uint64) + np.uint64(1) + np.cumsum(steps)[:-1])
+
+    def find(self, nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number under its node, -1 where it isn't; rows sorted by node and number."""
+        out = np.full(len(nodes), -1, np.int64)
+        if not len(nodes) or not self.numbers.n:
+            return out
+        distinct, back = np.unique(nodes, return_inverse=True)
+        lo, hi = self.pointers.values(distinct).astype(np.int64), self.pointers.values(distinct + 1).astype(np.int64)
+        before = np.where(lo > 0, self.numbers.values(np.maximum(lo - 1, 0)), np.uint64(0))
+        end = np.where(hi > 0, self.numbers.values(np.maximum(hi - 1, 0)), np.uint64(0))
+        rows = np.flatnonzero((hi > lo)[back])
+        of = back[rows]
+        # beyond a node's last number the search stops just there, so what is asked for rises over all nodes
+        goal = np.minimum(before[of] + wanted[rows].astype(np.uint64) + np.uint64(1), end[of] + np.uint64(1))
+        place, equal = self.numbers.successors(goal)
+        good = equal & (place < hi[of])
+        out[rows[good]] = place[good]
+        return out
+
+    def parts(self) -> list[EliasFano]:
+        return [self.pointers, self.numbers]
+
+
+def _begins(parents: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(parents, np.arange(n + 1))
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
 
-    def __init__(self, words: np.ndarray, word_values: list[np.ndarray], pairs: np.ndarray, pair_values: np.ndarray):
-        self.words, self.pairs = EliasFano(words), EliasFano(pairs)
-        arrays = [self.words.low, self.words.high, self.pairs.low, self.pairs.high, coded(pair_values), *map(coded, word_values)]
+class Trie:
+    """Three levels and their codes; the large arrays are mapped from a file that goes with the object."""
+
+    def __init__(self, words: np.ndarray, p: np.ndarray, contexts: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray, pairs: dict[tuple[int, int], int]):
+        """words: sorted hashes with their probability p and their count as a context. v, w, u: ranks of words, sorted, and the
+        trigrams' counts c. pairs: counts of the pairs of ranks that are spread over several shards."""
+        n = len(words)
+        first = _edges(v, w)
+        v2, w2 = v[first], w[first]
+        c2 = np.add.reduceat(c, first) if len(c) else np.empty(0, np.int64)
+        for (a, b), count in pairs.items():
+            c2[(v2 == a) & (w2 == b)] = count
+        q2 = np.log10((c2 + MU2 * p[w2]) / (contexts[v2] + MU2))
+        own = np.unique(v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64))
+        v_of = (own >> np.uint64(32)).astype(np.int64)
+        begin = _begins(v_of, n)
+        number = np.searchsorted(own, v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64)) - begin[v]
+        pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        self.words = EliasFano(words)
+        self.successors = Lists(_begins(v2, n), w2)
+        self.predecessors = Lists(begin, (own & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        self.trigrams = Lists(np.append(first, len(v)), number)
+        codes = [np.log10(p), np.log10(MU2 / (contexts + MU2)), q2, -np.log10(c2 + MU3), np.log10(c + MU3 * 10 ** q2[pair])]
+        sequences = [self.words, *(e for x in (self.successors, self.predecessors, self.trigrams) for e in x.parts())]
+        arrays = [a for e in sequences for a in (e.low, e.high)] + [coded(x) for x in codes]
         handle, path = tempfile.mkstemp(suffix=".trie")
         with os.fdopen(handle, "wb") as f:
             for a in arrays:
@@ -121,209 +202,329 @@ class Trie:
         for a in arrays:
             out.append(mapped[at : at + a.nbytes].view(a.dtype))
             at += a.nbytes + -a.nbytes % 8
-        self.words.low, self.words.high, self.pairs.low, self.pairs.high, self.pair_codes, *self.word_codes = out
-
-    def rank(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.words.successors(words)
-
-    def pair(self, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value of each pair and whether it was seen; context: ranks of level 1, other: 32-bit numbers, sorted as pairs."""
-        place, seen = self.pairs.successors(context.astype(np.uint64) << np.uint64(32) | other)
-        value = np.zeros(len(place))
-        value[seen] = decoded(self.pair_codes[place[seen]])
-        return value, seen
+        for e in sequences:
+            e.low, e.high = out.pop(0), out.pop(0)
+        self.p, self.back, self.q2, self.d2, self.q3 = out
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        """The ranks of sorted hashes, -1 for words that aren't there."""
+        place, seen = self.words.successors(words)
+        return np.where(seen, place, -1)
+
+    def score(self, v: np.ndarray, w: np.ndarray, u: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """For trigrams of ranks, sorted by (v, w, u): the log numerator, and minus the log denominator of (v, w) as the next
+        token's context. unknown: log10 probability of a word that isn't known."""
+        numerator = np.where(w >= 0, decoded(self.p[np.maximum(w, 0)]) if len(self.p) else 0.0, unknown)
+        numerator += np.where(v >= 0, decoded(self.back[np.maximum(v, 0)]) if len(self.back) else 0.0, 0.0) + np.log10(MU3)
+        denominator = np.full(len(v), -np.log10(MU3))
+        rows = np.flatnonzero((v >= 0) & (w >= 0))
+        first = _edges(v[rows], w[rows])
+        pair = self.successors.find(v[rows[first]], w[rows[first]])[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))]
+        rows, pair = rows[pair >= 0], pair[pair >= 0]
+        numerator[rows] = decoded(self.q2[pair]) + np.log10(MU3)
+        denominator[rows] = decoded(self.d2[pair])
+        known = u[rows] >= 0
+        rows, pair = rows[known], pair[known]
+        own, back = np.unique(v[rows].astype(np.uint64) << np.uint64(32) | u[rows].astype(np.uint64), return_inverse=True)
+        node = (own >> np.uint64(32)).astype(np.int64)
+        number = self.predecessors.find(node, (own & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        start = self.predecessors.pointers.values(node).astype(np.int64)
+        number = np.where(number >= 0, number - start, -1)[back]
+        rows, pair, number = rows[number >= 0], pair[number >= 0], number[number >= 0]
+        place = self.trigrams.find(pair, number)
+        numerator[rows[place >= 0]] = decoded(self.q3[place[place >= 0]])
+        return numerator, denominator
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(common.FOLD).split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): the counts of token hashes in docs (text)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        ends = 0
+_CHUNKS = "chunk long, ids binary, train binary, sizes binary, tokens binary, words array<long>, c array<long>, n long, learnt long"
 
-        def flushed(ends: int) -> pa.RecordBatch:
-            words = [xxhash.xxh3_64_intdigest(w) for w in counts]
-            c = list(counts.values())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.array([*words, END], np.uint64).view(np.int64)), pa.array([*c, ends], pa.int64())], names=["word", "c"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(_tokens(text.as_py()))
-                ends += 1
-                if len(counts) > 1_000_000:
-                    yield flushed(ends)
-                    ends = 0
-        if ends:
-            yield flushed(ends)
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-_BLOCKS = "shard int, chunk long, block binary"
-
-
-def _chunk_blocks(texts: list[str | None], train: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For every shard its bigrams of a chunk: words, pairs for each, documents for each pair."""
-    ids: dict[bytes, int] = {}
-    names: list[np.ndarray] = []
-    for text in texts:
-        names.append(np.fromiter([ids.setdefault(w, len(ids)) for w in _tokens(text)], np.int64))
-    n_words = len(ids)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, n_words)
-    hashes = np.append(hashes, [np.uint64(END), np.uint64(START)])
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    hashes = hashes[order]
-    keys = []
-    for d, w in enumerate(names):
-        r = rank[np.concatenate([[n_words + 1], w, [n_words]])]
-        keys.append(r[1:] << np.uint64(40) | r[:-1] << np.uint64(16) | np.uint64(d))
-    keys = np.concatenate(keys)
-    keys.sort()
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    times = np.diff(np.append(start, len(keys))).astype(np.uint32)
-    keys = keys[start]
-    doc = (keys & np.uint64(0xFFFF)).astype(np.uint16)
-    pair = keys >> np.uint64(16)
-    p_start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    p_size = np.diff(np.append(p_start, len(pair)))
-    word = hashes[(pair[p_start] >> np.uint64(24)).astype(np.int64)]
-    other = hashes[(pair[p_start] & np.uint64(0xFFFFFF)).astype(np.int64)]
-    dealt = np.where(np.isin(word, hot), word ^ (other * np.uint64(0x9E3779B97F4A7C15)), word)
-    shard = (dealt % np.uint64(shards)).astype(np.int32)
-    by_shard = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-    flags = np.packbits(train)
-    small = zstandard.ZstdCompressor(level=1)
-    for s in range(shards):
-        mine = by_shard[edges[s] : edges[s + 1]]
-        if not len(mine):
-            continue
-        size = p_size[mine]
-        at = np.repeat(p_start[mine] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        words, n = np.unique(word[mine], return_counts=True)
-        parts = (words, n.astype(np.uint32), (other[mine] >> np.uint64(32)).astype(np.uint32), size.astype(np.uint16), doc[at], times[at], flags, len(texts))
-        yield s, small.compress(pickle.dumps(parts, protocol=5))
-
-
-def blocks(docs: DataFrame, shards: int, hot: list[int]) -> DataFrame:
-    """(shard, chunk, block) of docs (doc_id, text, train); a block with the ids of a chunk's documents has shard -1 - shard."""
-    hot_words = np.array(sorted(hot), np.int64).view(np.uint64)
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
+def chunks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text, train) in rows: ids, training flags, numbers of tokens, token numbers, and for each number the
+    word's hash (rising, with the end) and its count in the chunk's training documents."""
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("n", pa.int64()), ("learnt", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
+        numbers: dict[bytes, int] = {}
+        ids, train, rows, size = [], [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+            hashes, back = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+            sizes = np.array([len(r) for r in rows], np.int64)
+            tokens = back[np.concatenate(rows)].astype(np.uint32) if sizes.sum() else np.empty(0, np.uint32)
+            flags = np.array(train, bool)
+            counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(hashes))
+            counts[np.searchsorted(hashes, np.uint64(END))] += flags.sum()
+            values = [part << 20 | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), sizes.astype(np.uint32).tobytes(), tokens.tobytes(), hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            chunk = part << 20 | serial
-            train = np.array([bool(h[2]) for h in held])
-            ids = pickle.dumps([h[0] for h in held])
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk % shards], pa.int32()), pa.array([chunk], pa.int64()), pa.array([ids], pa.binary())], schema=schema)
-            for s, block in _chunk_blocks([h[1] for h in held], train, shards, hot_words):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([chunk], pa.int64()), pa.array([block], pa.binary())], schema=schema)
+        for batch in batches:
+            for doc_id, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = _tokens(text.as_py())
+                ids.append(doc_id)
+                train.append(bool(learns))
+                rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+                size += sum(map(len, words)) + len(words) + 1
+                if size >= CHUNK or len(ids) >= CHUNK_DOCS:
+                    yield flushed()
+                    numbers, ids, train, rows, size, serial = {}, [], [], [], 0, serial + 1
+        if ids:
+            yield flushed()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(make, _CHUNKS)
+
+
+def word_counts(made: DataFrame, n: int) -> DataFrame:
+    """For every chunk the counts of its words over all chunks; `kinds`, the words that it is the first to hold; and of these the hot ones."""
+    listed = made.select("chunk", F.posexplode(F.arrays_zip("words", "c")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.c").alias("c"))
+    same = Window.partitionBy("word")  # one row for each chunk
+    total = listed.select("chunk", "pos", "word", F.sum("c").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
+    return total.groupBy("chunk").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("counts"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("kinds"),
+        F.collect_list(F.when(F.col("first") & (F.col("c") * HOT > n), F.col("word"))).alias("hot"))
+
+
+class _Chunk:
+    """A row of `chunks`: for every token of its documents, ends included, the numbers of u, v and w and of the document."""
+
+    def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, words: list | np.ndarray):
+        self.ids = pickle.loads(ids)
+        n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        self.train = np.unpackbits(np.frombuffer(train, np.uint8))[: len(n)].astype(bool)
+        hashes = np.append(np.array(words, np.int64).view(np.uint64), np.uint64(START))  # the start comes last
+        self.words = hashes
+        end, start = int(np.searchsorted(hashes[:-1], np.uint64(END))), len(hashes) - 1
+        long = np.full(int((n + 3).sum()), start, np.uint32)  # two starts, the tokens and an end for each document
+        at = np.concatenate([[0], np.cumsum(n + 3)[:-1]])
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        place = np.arange(len(self.doc)) + 2 * self.doc + 2
+        is_end = np.zeros(len(long), bool)
+        is_end[at + n + 2] = True
+        long[place[~is_end[place]]] = np.frombuffer(tokens, np.uint32)
+        long[at + n + 2] = end
+        self.w, self.v, self.u = (long[place - k].astype(np.int64) for k in (0, 1, 2))
+        self.n = n + 1
+
+
+def _hash(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out ^ c) * _M2
+        out ^= out >> np.uint64(31)
+    return out
+
+
+class Block:
+    """Trigrams of some texts: v, w and u as places in `words` (rising hashes, with their counts), places in `docs` (rising
+    handles of documents), how often, and whether that document is learned from."""
+
+    FIELDS = ("words", "counts", "docs", "v", "w", "u", "doc", "times", "learn")
+
+    def __init__(self, *arrays: np.ndarray):
+        for name, a in zip(self.FIELDS, arrays):
+            setattr(self, name, a)
+
+    def packed(self) -> bytes:
+        arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), *(x.astype(np.uint32) for x in (self.v, self.w, self.u, self.doc, self.times)), np.packbits(self.learn)]
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((len(self.v), [a.tobytes() for a in arrays]), protocol=5))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Block:
+        n, raw = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        kinds = [np.uint64, np.int64, np.int64, *[np.uint32] * 5, np.uint8]
+        words, counts, docs, *rest, learn = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
+        return cls(np.cumsum(words), counts, np.cumsum(docs), *(x.astype(np.int64) for x in rest), np.unpackbits(learn)[:n].astype(bool))
+
+    @classmethod
+    def merged(cls, blocks: list[Block]) -> Block:
+        words, first = np.unique(np.concatenate([b.words for b in blocks]), return_index=True)
+        counts = np.concatenate([b.counts for b in blocks])[first]
+        docs = np.unique(np.concatenate([b.docs for b in blocks]))
+        maps = [np.searchsorted(words, b.words) for b in blocks]
+        spread = [np.concatenate([m[getattr(b, x)] for m, b in zip(maps, blocks)]) for x in "vwu"]
+        doc = np.concatenate([np.searchsorted(docs, b.docs)[b.doc] for b in blocks])
+        return cls(words, counts, docs, *spread, doc, np.concatenate([b.times for b in blocks]), np.concatenate([b.learn for b in blocks]))
+
+    def some(self, rows: np.ndarray) -> Block:
+        v, w, u, doc = self.v[rows], self.w[rows], self.u[rows], self.doc[rows]
+        used = np.zeros(len(self.words), bool)
+        for x in (v, w, u):
+            used[x] = True
+        to = np.cumsum(used) - 1
+        docs = np.unique(doc)
+        return Block(self.words[used], self.counts[used], self.docs[docs], to[v], to[w], to[u], np.searchsorted(docs, doc), self.times[rows], self.learn[rows])
+
+    def dealt(self, shards: int, width: int, hot: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, Block]]:
+        """This block's parts for groups of `width` shards."""
+        v, w, u = self.words[self.v], self.words[self.w], self.words[self.u]
+        key = _hash(v)
+        frequent = np.isin(v, hot)
+        key[frequent] = _hash(v[frequent], w[frequent])
+        both = frequent & np.isin(_hash(v, w), pairs)
+        key[both] = _hash(v[both], w[both], u[both])
+        part = (key % np.uint64(shards)).astype(np.int64) // width
+        order = np.argsort(part, kind="stable")
+        edges = _edges(part[order])
+        for a, b in zip(edges, np.append(edges[1:], len(order))):
+            yield int(part[order[a]]), self.some(order[a:b])
+
+
+def hot_pairs(made: DataFrame, hot: np.ndarray, n: int) -> dict[tuple[int, int], int]:
+    """(v, w) and count of the pairs of hot words that are more than 1/HOT of all training tokens; START and END are hot."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(hot) ** 2, np.int64)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                chunk = _Chunk(*row)
+                place = np.minimum(np.searchsorted(hot, chunk.words), len(hot) - 1)
+                place = np.where(hot[place] == chunk.words, place, -1)
+                v, w = place[chunk.v], place[chunk.w]
+                good = (v >= 0) & (w >= 0) & chunk.train[chunk.doc]
+                counts += np.bincount(v[good] * len(hot) + w[good], minlength=len(counts))
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["pair", "c"])
+
+    rows = made.select("ids", "train", "sizes", "tokens", "words").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") * HOT > n)
+    return {(int(hot[r["pair"] // len(hot)]), int(hot[r["pair"] % len(hot)])): r["c"] for r in rows.collect()}  # fewer than HOT rows
+
+
+_BLOCKS = "part long, block binary"
+_SCORED = "handle long, doc_id long, n_tokens long, n_known long, base double, model double"
+
+
+def _width(above: int) -> int:
+    """Shards of a part, where a part of `above` shards is split into FAN at most."""
+    return max(1, -(-above // FAN))
+
+
+def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n: int, kinds: int, learnt: int) -> DataFrame:
+    """(part, block) of chunks with their words' counts; a part below 0 holds documents with their base scores."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, train in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append((doc_id, text, train))
-                size += len(text or "")
-                if size >= CHUNK or len(held) >= CHUNK_DOCS:
-                    yield from flushed()
-                    held, size, serial = [], 0, serial + 1
-        if held:
+            for number, *fields, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                chunk = _Chunk(*fields)
+                of = np.array([*counts, learnt], np.int64)
+                base, known = np.log10((of + 1) / (n + kinds + 1))[chunk.w], (of > 0)[chunk.w]
+                docs = (number << 16) + np.arange(len(chunk.ids))
+                sums = [np.bincount(chunk.doc, x, len(docs)) for x in (known, base)]
+                yield _rows([-1 - number % shards], [pickle.dumps((docs, chunk.ids, chunk.n, *sums), protocol=5)])
+                order = np.lexsort((chunk.doc, chunk.u, chunk.w, chunk.v))
+                v, w, u, doc = (x[order] for x in (chunk.v, chunk.w, chunk.u, chunk.doc))
+                first = _edges(v, w, u, doc)
+                times = np.diff(np.append(first, len(v)))
+                rank = np.argsort(chunk.words)
+                to = np.empty_like(rank)
+                to[rank] = np.arange(len(rank))
+                whole = Block(chunk.words[rank], of[rank], docs, to[v[first]], to[w[first]], to[u[first]], doc[first], times, chunk.train[doc[first]])
+                for part, block in whole.dealt(shards, _width(shards), hot, pairs):
+                    yield _rows([part], [block.packed()])
+
+    def split(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Puts blocks of a part together, up to MERGED bytes, and splits them into its own parts."""
+            held: list[Block] = []
+            now, size = None, 0
+
+            def flushed() -> Iterator[pa.RecordBatch]:
+                if held:
+                    for part, block in Block.merged(held).dealt(shards, width, hot, pairs):
+                        yield _rows([part], [block.packed()])
+                    held.clear()
+
+            for batch in batches:
+                for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if part < 0:
+                        yield _rows([part], [block.as_py()])
+                        continue
+                    if part != now or size >= MERGED:
+                        yield from flushed()
+                        now, size = part, 0
+                    held.append(Block.unpacked(block.as_py()))
+                    size += 40 * len(held[-1].v)
             yield from flushed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(make, _BLOCKS)
+        return run
+
+    out = made.select("chunk", "ids", "train", "sizes", "tokens", "words", "counts").mapInArrow(make, _BLOCKS)
+    width = _width(shards)
+    while width > 1:
+        groups = -(-shards // width)
+        salted = out.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
+        width = _width(width)
+        out = salted.repartition(common.tasks(groups * 4), "part", "salt").sortWithinPartitions("part").select("part", "block").mapInArrow(split(width), _BLOCKS)
+    return out
 
 
-_PARTS = "chunk long, part binary"
-_SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
+def _rows(parts: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "block"])
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one chunk, with the sums of all shards' parts."""
-    parts = [pickle.loads(p) for p in pdf["part"]]
-    ids = next(p for p in parts if isinstance(p, list))
-    sums = np.zeros((4, len(ids)))
-    for p in parts:
-        if not isinstance(p, list):
-            sums[:, p[0]] += p[1]
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "model": sums[3]})
+def _trained(block: Block, n: int, kinds: int, pairs: dict[tuple[int, int], int]) -> tuple[Trie, np.ndarray]:
+    """The trie of a shard's training texts, and the rank in it of each of the block's words. Its rows are sorted by (v, w, u)."""
+    known = np.flatnonzero((block.counts > 0) | (block.words == np.uint64(START)))
+    words = block.words[known]
+    to = np.full(len(block.words), -1, np.int64)
+    to[known] = np.arange(len(known))
+    rows = np.flatnonzero(block.learn)
+    v, w, u = (to[getattr(block, x)[rows]] for x in "vwu")
+    first = _edges(v, w, u)
+    c = np.add.reduceat(block.times[rows], first) if len(rows) else np.empty(0, np.int64)
+    place = {int(x): i for i, x in enumerate(words) if pairs}
+    spread = {(place[a], place[b]): count for (a, b), count in pairs.items() if a in place and b in place}
+    p = (block.counts[known] + 1) / (n + kinds + 1)
+    trie = Trie(words, p, block.counts[known], v[first], w[first], u[first], c, spread)
+    return trie, trie.rank(block.words)
 
 
-def _answer(n_total: int, n_kinds: int, hot: dict[int, int]):
-    hot_words = np.array(sorted(hot), np.int64).view(np.uint64)
-    hot_words.sort()
-    hot_counts = np.array([hot[int(w)] for w in hot_words.view(np.int64)], np.int64)
+def _answer(n: int, kinds: int, pairs: dict[tuple[int, int], int]):
+    unknown = float(-np.log10(n + kinds + 1))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Builds a shard's trie from its blocks and gives each document's sums."""
-        shard = int(pdf["shard"].iloc[0])
-        if shard < 0:
-            return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["block"]})
-        expand = zstandard.ZstdDecompressor()
-        parts = [pickle.loads(expand.decompress(b)) for b in pdf["block"]]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        keys, counts = [], []
-        for w, n, other, size, doc, times, flags, docs in parts:
-            context = np.repeat(np.searchsorted(words, w), n).astype(np.uint64)
-            learnt = np.where(np.unpackbits(flags)[:docs][doc], times, 0)
-            keys.append(context << np.uint64(32) | other)
-            counts.append(np.add.reduceat(learnt, np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]]), dtype=np.int64))
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        every, c = every[order], np.concatenate(counts)[order]
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        c = np.add.reduceat(c, first)
-        pairs = every[first]
-        del every, order
-        count = np.bincount((pairs >> np.uint64(32)).astype(np.int64), c, len(words)).astype(np.int64)
-        if len(hot_words):  # a frequent word is dealt over many shards, so its count comes from the whole
-            at = np.minimum(np.searchsorted(hot_words, words), len(hot_words) - 1)
-            count = np.where(hot_words[at] == words, hot_counts[at], count)
-        p = (count + 1) / (n_total + n_kinds + 1)
-        seen = c > 0
-        smoothed = np.log10(c[seen] + MU * p[(pairs[seen] >> np.uint64(32)).astype(np.int64)])
-        spread = np.where(words == np.uint64(END), 0.0, -np.log10(count + MU))
-        trie = Trie(words, [np.log10(MU * p), spread], pairs[seen], smoothed)
-        base = np.log10(p)
-        # each distinct pair is looked up once, in order; the blocks then refer to the answers
-        rank, _ = trie.rank(words)
-        context = rank[(pairs >> np.uint64(32)).astype(np.int64)]
-        value, found = trie.pair(context, pairs & np.uint64(0xFFFFFFFF))
-        value[~found] = decoded(trie.word_codes[0][context[~found]])
-        value += decoded(trie.word_codes[1][context])
-        out = []
-        for mine, (_, _, _, size, doc, times, _, docs) in zip(keys, parts):
-            at = np.searchsorted(pairs, mine)
-            word = context[at]
-            of = np.repeat(np.arange(len(size)), size)
-            sums = np.stack([np.bincount(doc, x, docs) for x in (times, times * (count[word] > 0)[of], times * base[word][of], times * value[at][of])])
-            there = np.flatnonzero(sums[0])
-            out.append(pickle.dumps((there.astype(np.uint16), sums[:, there]), protocol=5))
-        return pd.DataFrame({"chunk": pdf["chunk"], "part": out})
+        """Builds a shard's trie from its training texts and looks up all its texts' trigrams: sums for each document."""
+        if pdf["part"].iloc[0] < 0:
+            parts = [pickle.loads(b) for b in pdf["block"]]
+            handles, n_tokens, known, base = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
+            ids = pd.array([i for p in parts for i in p[1]], "Int64")
+            return pd.DataFrame({"handle": handles, "doc_id": ids, "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base, "model": 0.0})
+        block = Block.merged([Block.unpacked(b) for b in pdf["block"]])
+        order = np.lexsort((block.u, block.w, block.v))
+        for x in ("v", "w", "u", "doc", "times", "learn"):
+            setattr(block, x, getattr(block, x)[order])
+        trie, rank = _trained(block, n, kinds, pairs)
+        first = _edges(block.v, block.w, block.u)  # each distinct trigram is looked up once
+        numerator, denominator = trie.score(*(rank[getattr(block, x)[first]] for x in "vwu"), unknown)
+        value = numerator + np.where(block.words[block.w[first]] == np.uint64(END), 0.0, denominator)
+        sums = np.bincount(block.doc, block.times * np.repeat(value, np.diff(np.append(first, len(block.v)))), len(block.docs))
+        return pd.DataFrame({"handle": block.docs, "doc_id": pd.array([None] * len(sums), "Int64"), "n_tokens": 0, "n_known": 0, "base": 0.0, "model": sums})
 
     return answer
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, train)."""
-    counts = common.stored(word_counts(docs.filter("train")), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("docs")).first()
-    n, v, learnt = int(total["n"] or 0), int(total["v"]), int(total["docs"] or 0)
-    hot = {r["word"]: r["c"] for r in counts.filter(F.col("c") * HOT > n).collect()}  # fewer than HOT rows
+    common.small_batches(docs.sparkSession)
+    made = common.stored(chunks(docs), "chunks")
+    total = made.agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")).first()
+    n, learnt = int(total["n"] or 0), int(total["learnt"] or 0)
+    counts = common.stored(word_counts(made.select("chunk", "words", "c"), n), "words")
+    kinds = int(counts.agg(F.sum("kinds")).first()[0] or 0)
+    hot = {END, START} | {r[0] % 2**64 for r in counts.select(F.explode("hot")).collect()}  # fewer than HOT rows
+    hot = np.array(sorted(hot), np.uint64)
+    pairs = hot_pairs(made, hot, n)
+    keys = _hash(*(np.array(x, np.uint64) for x in zip(*pairs))) if pairs else np.empty(0, np.uint64)
     shards = max(common.partitions(docs.sparkSession), -(-n // SHARD_TOKENS))
-    made = blocks(docs, shards, list(hot))
-    parts = made.groupBy("shard").applyInPandas(_answer(n, v, hot), _PARTS)
-    summed = parts.groupBy("chunk").applyInPandas(_summed, _SCORED)
-    begin = float(-np.log10(learnt + MU))
+    dealt = blocks(made.join(counts.select("chunk", "counts"), "chunk"), shards, hot, keys, n, kinds, learnt)
+    parts = dealt.repartition(common.tasks(shards), "part").groupBy("part").applyInPandas(_answer(n, kinds, pairs), _SCORED)
+    summed = parts.groupBy("handle").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
+    begin = float(-np.log10(learnt + MU3))  # the first token's context
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("model") + F.lit(begin)).alias("score"))
 
 

@@ -91,6 +91,35 @@ def base_scores(docs, learns):
     return out, total
 
 
+def trigram_scores(docs, learns, mu2, mu3):
+    """docs: (doc_id, text); learns: id -> bool. The log10 probability of each text, from plain counts."""
+    one, two, three, context = Counter(), Counter(), Counter(), Counter()
+
+    def padded(t):
+        return ["<s>", "<s>", *[("w", x) for x in words(t)], "</s>"]
+
+    for i, t in docs:
+        if learns(i):
+            p = padded(t)
+            context["<s>", "<s>"] += 1
+            for u, v, w in zip(p, p[1:], p[2:]):
+                one[w] += 1
+                two[v, w] += 1
+                three[u, v, w] += 1
+    context.update(two)
+    heads = Counter({"<s>": context["<s>", "<s>"]}) + Counter({w: c for w, c in one.items()})
+    total, kinds = sum(one.values()), len(one)
+    out = []
+    for _, t in docs:
+        p, score = padded(t), 0.0
+        for u, v, w in zip(p, p[1:], p[2:]):
+            p1 = (one[w] + 1) / (total + kinds + 1)
+            p2 = (two[v, w] + mu2 * p1) / (heads[v] + mu2)
+            score += math.log10((three[u, v, w] + mu3 * p2) / (context[u, v] + mu3))
+        out.append((len(p) - 2, score))
+    return out
+
+
 def top_k(vectors, k=20, every=20):
     rows = {i: [math.floor(64 * x) for x in v] for i, v in vectors}
     out = defaultdict(list)

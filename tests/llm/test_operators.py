@@ -214,6 +214,40 @@ def test_lm_base_counts_and_gain(small, plain):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("fan, tokens, hot", [(256, 2_500_000, 1000), (3, 20_000, 30), (2, 9_000, 1000)])
+def test_lm_scores_equal_plain_counts(spark, small, plain, monkeypatch, fan, tokens, hot):
+    """One shard for each task; many shards by several steps; many frequent words and pairs."""
+    for name, value in (("FAN", fan), ("SHARD_TOKENS", tokens), ("HOT", hot), ("CHUNK", 150_000), ("MERGED", 500_000)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    learns = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    rows = ngram_lm.score(small.select("doc_id", "text", (common.doc_remainder("doc_id", 7) != 2).alias("train"))).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in plain)
+    by_id = {r.doc_id: r for r in rows}
+    for (i, _), (n, want) in zip(plain, brute.trigram_scores(plain, learns, ngram_lm.MU2, ngram_lm.MU3)):
+        assert by_id[i].n_tokens == n and abs(by_id[i].score - want) <= 1.5 * ngram_lm.STEP * n + 1e-6
+
+
+def test_trie_walks_to_what_it_holds():
+    rng = np.random.default_rng(14)
+    words = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    rows = np.unique(rng.integers(0, len(words), (5000, 3)) ** 2 // len(words), axis=0)
+    half = rows[rng.random(len(rows)) < 0.5]
+    c = rng.integers(1, 9, len(half))
+    p, contexts = np.full(len(words), 1e-3), np.full(len(words), 40)
+    trie = ngram_lm.Trie(words, p, contexts, *half.T, c, {})
+    held = {tuple(r): n for r, n in zip(half.tolist(), c.tolist())}
+    pairs = Counter()
+    for (v, w, _), n in held.items():
+        pairs[v, w] += n
+    rows[::17, 1] = -1
+    rows = rows[np.lexsort(rows.T[::-1])]
+    numerator, denominator = trie.score(*rows.T, -9.0)
+    for (v, w, u), a, b in zip(rows.tolist(), numerator, denominator):
+        p2 = (pairs[v, w] + ngram_lm.MU2 * (1e-3 if w >= 0 else 1e-9)) / (40 + ngram_lm.MU2)
+        assert a == pytest.approx(np.log10(held.get((v, w, u), 0) + ngram_lm.MU3 * p2), abs=ngram_lm.STEP) and b == pytest.approx(-np.log10(pairs[v, w] + ngram_lm.MU3), abs=ngram_lm.STEP)
+    assert (trie.rank(words) == np.arange(len(words))).all() and (trie.rank(np.array([1], np.uint64)) == -1).all()
+
+
 def test_lm_odd_cases(docs, odd, nothing):
     train = F.coalesce(F.col("doc_id") < 8, F.lit(False))
     rows = ngram_lm.score(docs.select("doc_id", "text", train.alias("train"))).collect()
@@ -230,6 +264,7 @@ def test_elias_fano_round_trip():
         ef = ngram_lm.EliasFano(values)
         assert (np.concatenate([ef.block(b) for b in range(-(-len(values) // ngram_lm.BLOCK))]) == values).all()
         wanted = np.unique(np.concatenate([values[::7], rng.integers(0, top, 500, dtype=np.uint64)]))
+        assert (ef.values(np.arange(0, len(values), 13)) == values[::13]).all()
         place, equal = ef.successors(wanted)
         assert (place == np.searchsorted(values, wanted)).all() and (equal == np.isin(wanted, values)).all()
 
