@@ -2,27 +2,33 @@
 
 A text's terms are its distinct words and their beginnings (so compounds share weight), hashed into BUCKETS. The score is
 sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the terms present: the pair terms let two words weigh more together
-than apart. The machine is fitted on at most about 2 * SAMPLE labelled rows, chosen by hashed id, as many of either label where
+than apart. The machine is fitted on about 2 * SAMPLE labelled documents, chosen by hashed id, as many of either label where
 there are; rows of a thinned label weigh more in return. Terms are screened first: only those whose frequency
 differs between the labels by Z standard errors or more, and by a factor of LIFT, take part (at most TERMS, the most
 telling ones), and the terms of pairs that tell more than their terms do: among the PAIRED most varying and telling terms, those
 whose covariance and joint frequency differ between the labels by PAIR_Z standard errors, and their joint frequency and odds ratio
-by a factor of LIFT (at most ADDED terms, of the most telling pairs). So thousands of neutral words in a long text, or words that only mark a language, add nothing.
+by a factor of LIFT (at most ADDED terms, of the most telling pairs). So thousands of neutral words in a long text, or words that
+only mark a language, add nothing.
+
+Learning is distributed up to the screen: tasks turn the sampled texts into sets of hashed terms, terms are counted by a
+shuffle, and the chosen ones are looked for in the sets again. One task, which gets these bounded rows alone, fits the machine;
+the driver sees neither texts nor sets.
 
 The model is bounded by TERMS + ADDED and broadcast. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null and empty texts get the score of no terms; null labels and labels of unknown documents aren't learned from;
-a document with several labels counts as toxic if one says so; without labels of both kinds every score is 0; further
-columns are ignored; repeated rows are scored each.
+a document with several labels counts as toxic if one says so; of several texts under one doc_id the smallest is learned from;
+without labels of both kinds every score is 0; further columns are ignored, a score of the caller's is replaced; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,8 +36,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 21
-SAMPLE, TERMS, Z, LIFT, RANK = 2500, 4096, 3.0, 2.0, 4
+BUCKETS = 1 << 22
+#: Z and LIFT: the best of twelve pairs by three-fold cross-validation inside the training rows of sf0.1.
+SAMPLE, TERMS, Z, LIFT, RANK = 4000, 4096, 2.5, 1.5, 4
+#: Documents that must hold a term before it is looked at.
+LEAST = 4
 #: Terms among which pairs are looked for, and the standard errors of a pair: chance alone passes one of their 2 million pairs in 250 fits.
 PAIRED, PAIR_Z = 2048, 6.0
 #: Terms at most that pairs add, the most telling ones.
@@ -86,6 +95,10 @@ class Machine:
         return float(1 / (1 + math.exp(-max(-60.0, min(60.0, y)))))
 
 
+def term_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array([t for word in words_of(text) for t in terms_of(word)], np.int32))
+
+
 def paired(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Those of terms that are in a pair whose joint frequency differs between the labels by more than its terms' own frequencies say."""
     place = np.full(BUCKETS, -1, np.int32)
@@ -125,26 +138,46 @@ def paired(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarr
     return terms[order[: np.count_nonzero(strength >= PAIR_Z)]]
 
 
-def fit(texts: list[str | None], labels: list[int], weights: dict[int, float], steps: int = 300) -> Machine:
-    """The machine of labelled texts; weights: of a row with each label."""
-    sizes = Counter(labels)
-    if not sizes[0] or not sizes[1]:
-        return Machine({}, -60.0, np.zeros(0), np.zeros((0, RANK)))
-    sets = [np.unique(np.array([t for word in words_of(text) for t in terms_of(word)], np.int32)) for text in texts]
-    y = np.array(labels, np.int64)
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for s, label in zip(sets, labels):
-        counts[label, s] += 1
-
-    seen = np.flatnonzero(counts.sum(axis=0) >= 4)
-    p = (counts[:, seen] + 0.5) / np.array([[sizes[0] + 1], [sizes[1] + 1]])
+def screened(terms: np.ndarray, counts: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(the terms that tell, most telling first; those among which pairs are looked for) of terms with their documents of
+    either label (two rows). sizes: documents of either label."""
+    order = np.argsort(terms, kind="stable")
+    terms, counts = terms[order], counts[:, order]
+    p = (counts + 0.5) / np.array([[sizes[0] + 1], [sizes[1] + 1]])
     z = np.abs(p[1] - p[0]) / np.sqrt(p[0] * (1 - p[0]) / sizes[0] + p[1] * (1 - p[1]) / sizes[1])
     z[p.max(axis=0) < LIFT * p.min(axis=0)] = 0
-    best = seen[np.lexsort((seen, -z))[:TERMS][: np.count_nonzero(z >= Z)]]
+    best = terms[np.lexsort((terms, -z))[:TERMS][: np.count_nonzero(z >= Z)]]
     mean = p.mean(axis=0)
-    varying = seen[np.lexsort((seen, -mean * (1 - mean)))]
+    varying = terms[np.lexsort((terms, -mean * (1 - mean)))[:PAIRED]]
     pool = np.concatenate([best[: PAIRED // 2], varying])
-    pool = pool[np.sort(np.unique(pool, return_index=True)[1])][:PAIRED]
+    return best, pool[np.sort(np.unique(pool, return_index=True)[1])][:PAIRED]
+
+
+def counted(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of LEAST sets or more, and how many sets of either label hold each."""
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for s, label in zip(sets, y):
+        counts[label, s] += 1
+    seen = np.flatnonzero(counts.sum(axis=0) >= LEAST)
+    return seen, counts[:, seen]
+
+
+def fit(texts: list[str | None], labels: list[int], weights: dict[int, float], steps: int = 300) -> Machine:
+    """The machine of labelled texts; weights: of a row with each label."""
+    y = np.array(labels, np.int64)
+    if len(set(labels)) < 2:
+        return blank()
+    sets = [term_set(t) for t in texts]
+    return machine(sets, y, *screened(*counted(sets, y), (int((y == 0).sum()), int(y.sum()))), weights, steps)
+
+
+def blank() -> Machine:
+    """The machine that scores 0."""
+    return Machine({}, -60.0, np.zeros(0), np.zeros((0, RANK)))
+
+
+def machine(sets: list[np.ndarray], y: np.ndarray, best: np.ndarray, pool: np.ndarray, weights: dict[int, float], steps: int = 300) -> Machine:
+    """The machine over the terms `best` and those of telling pairs in `pool`; sets may leave out all other terms."""
     more = paired(sets, y, pool)
     best = np.concatenate([best, more[~np.isin(more, best)][:ADDED]])
     place = np.full(BUCKETS, -1, np.int32)
@@ -184,17 +217,61 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return fit([], [], {})
+        return blank()
     size = F.when(F.col("y") == 1, F.lit(int(sizes[1]))).otherwise(F.lit(int(sizes[0])))
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), size) < SAMPLE).limit(4 * SAMPLE)
-    # at most 4 * SAMPLE ids, whatever the size of the tables
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(4 * SAMPLE).collect()
-    got = Counter(r["y"] for r in rows)
-    return fit([r["text"] for r in rows], [r["y"] for r in rows], {y: sizes[y] / max(1, got[y]) for y in (0, 1)})
+    # about SAMPLE ids of either label, whatever the size of the tables
+    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), size) < SAMPLE)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([term_set(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["doc_id", "y", "terms"])
+
+    sets = common.stored(rows.mapInArrow(as_sets, "doc_id long, y int, terms binary"), "terms")
+    got = {r["y"]: r["n"] for r in sets.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(got) < 2:
+        return blank()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS), np.int32)
+        for batch in batches:
+            for y, terms in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[y, np.frombuffer(terms.as_py(), np.int32)] += 1
+        seen = np.flatnonzero(counts.any(axis=0))
+        for at in range(0, len(seen), 1 << 16):
+            part = seen[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(c[part].astype(np.int64)) for c in counts]], names=["term", "c0", "c1"])
+
+    counts = sets.select("y", "terms").mapInArrow(count, "term int, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    counts = common.stored(counts.filter(F.col("c0") + F.col("c1") >= LEAST), "counts")
+    # the same sizes as in `screened`, by which the driver need only see the terms that may pass
+    p0, p1 = ((F.col(f"c{y}") + 0.5) / (got[y] + 1) for y in (0, 1))
+    z = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / got[0] + p1 * (1 - p1) / got[1])
+    telling = counts.filter(F.greatest(p0, p1) >= LIFT * F.least(p0, p1) * 0.999999).orderBy(F.desc(z), "term").limit(TERMS)
+    varying = counts.orderBy(F.desc((p0 + p1) * (2 - p0 - p1)), "term").limit(PAIRED)
+    found = telling.union(varying).distinct().collect()  # at most TERMS + PAIRED rows
+    best, pool = screened(np.array([r["term"] for r in found], np.int64), np.array([[r["c0"] for r in found], [r["c1"] for r in found]], np.int64).reshape(2, -1), (got[0], got[1]))
+    wanted = np.unique(np.concatenate([best, pool])).astype(np.int32)
+    weights = {y: sizes[y] / got[y] for y in (0, 1)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(np.frombuffer(t.as_py(), np.int32), wanted, assume_unique=True).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * batch.num_rows, pa.int32()), batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["all", "doc_id", "y", "terms"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        fitted = machine([np.frombuffer(t, np.int32) for t in pdf["terms"]], pdf["y"].to_numpy(np.int64), best, pool, weights)
+        return pd.DataFrame({"machine": [pickle.dumps(fitted)]})
+
+    # about 2 * SAMPLE rows of at most TERMS + PAIRED terms
+    fitted = sets.mapInArrow(held, "all int, doc_id long, y int, terms binary").groupBy("all").applyInPandas(run, "machine binary")
+    return pickle.loads(bytes(fitted.first()["machine"]))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score in place of text; other columns are carried through."""
+    docs = docs.drop("score")
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
