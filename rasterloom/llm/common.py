@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,6 +68,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer referred to; it does so only when the JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     """For `settled`: the tables stored up to now stay."""
     return len(_TABLES)

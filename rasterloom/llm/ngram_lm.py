@@ -6,7 +6,7 @@ The log splits into a numerator of (u,v,w) and a denominator of (u,v); the latte
 pair of a trigram. So all that concerns a pair can be worked out in the shard of that pair, and a text's score is the sum of
 its shards' parts.
 
-Trie: level 1 holds a shard's words (64-bit hashes, sorted). For each word, pointers lead to its successors (level 2) and to
+Trie: level 1 holds a shard's words (their numbers, sorted). For each word, pointers lead to its successors (level 2) and to
 its predecessors; for each pair (v,w), pointers lead to the words seen before it (level 3), each written by its number
 among the predecessors of v, its context. Numbers of siblings grow, and each list goes on from where the last one ended, so levels and
 pointers are monotone and stored as Elias-Fano sequences, in a file that is mapped into memory; each node has 16-bit codes of its
@@ -14,12 +14,12 @@ smoothed log values. A lookup walks down: pointers give a node's range, and a su
 The trie holds what training texts say; the n-grams of all texts are then looked up in it.
 
 Distribution: a task turns about CHUNK bytes of documents into a row of token numbers and the words behind them. The counts of
-words over all chunks come back to each chunk (one shuffle of a chunk's distinct words, one back). Then a chunk gives one block of
-trigrams, with the documents they occur in, to each shard. Shards follow the corpus (SHARD_TOKENS each), so a shard's memory
+words over all chunks, and a number for each word (the place where it stands first), come back to each chunk (one shuffle of a
+chunk's distinct words, one back). Then a chunk gives one block of trigrams, with the documents they occur in, to each shard. Shards follow the corpus (SHARD_TOKENS each), so a shard's memory
 doesn't grow; where there are more than FAN of them, blocks pass through groups of shards and are put together there, so the
 number of blocks follows the input. A trigram is dealt by v; by v and w where v is frequent (more than 1/HOT of all tokens, so
 fewer than HOT words), and by all three where the pair is (counted beforehand, fewer than HOT pairs). All counts cover all training
-documents; words are told apart by 64-bit hashes.
+documents; words are told apart by 64-bit hashes, and by their numbers from then on.
 
 Defined cases: null text counts as empty, one end; a null doc_id counts as the empty text in crc32; rows that share
 doc_id are scored each; without training documents no token is known; an empty table gives no rows; further columns
@@ -50,7 +50,11 @@ MU2, MU3 = 200.0, 2.0
 #: Bytes and documents of a chunk, tokens of a shard, blocks that a task may give at once, bytes put together on the way.
 CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 16_000_000, 60_000, 2_500_000, 256, 32_000_000
 HOT = 1000
-END, START = 0x6C62272E07BB0142, 0x27D4EB2F165667C5
+#: The hash of the end among words; the numbers of the end and of the start, above those of all words.
+END_HASH = 0x6C62272E07BB0142
+END, START = (1 << 62) + 1, (1 << 62) + 2
+#: Bits of a chunk's serial in its task, and of a word's place in its chunk.
+_SERIAL, _PLACE = 12, 30
 #: Codes are steps of STEP above LEAST.
 LEAST, STEP = -24.0, 1 / 2048
 BLOCK = 1 << 16
@@ -170,24 +174,25 @@ class Trie:
     """Three levels and their codes; the large arrays are mapped from a file that goes with the object."""
 
     def __init__(self, words: np.ndarray, p: np.ndarray, contexts: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray, pairs: dict[tuple[int, int], int]):
-        """words: sorted hashes with their probability p and their count as a context. v, w, u: ranks of words, sorted, and the
+        """words: rising numbers with their probability p and their count as a context. v, w, u: ranks of words, sorted, and the
         trigrams' counts c. pairs: counts of the pairs of ranks that are spread over several shards."""
         n = len(words)
-        first = _edges(v, w)
-        v2, w2 = v[first], w[first]
-        c2 = np.add.reduceat(c, first) if len(c) else np.empty(0, np.int64)
-        for (a, b), count in pairs.items():
-            c2[(v2 == a) & (w2 == b)] = count
+        rows = v.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        spread = np.array([a << 32 | b for a, b in pairs], np.uint64)
+        both = np.union1d(rows, spread)  # a pair that is spread may have no training trigram here
+        v2, w2 = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        pair = np.searchsorted(both, rows)
+        c2 = np.bincount(pair, c, len(both)).astype(np.int64)
+        c2[np.searchsorted(both, spread)] = list(pairs.values())
         q2 = np.log10((c2 + MU2 * p[w2]) / (contexts[v2] + MU2))
         own = np.unique(v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64))
         v_of = (own >> np.uint64(32)).astype(np.int64)
         begin = _begins(v_of, n)
         number = np.searchsorted(own, v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64)) - begin[v]
-        pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
         self.words = EliasFano(words)
         self.successors = Lists(_begins(v2, n), w2)
         self.predecessors = Lists(begin, (own & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        self.trigrams = Lists(np.append(first, len(v)), number)
+        self.trigrams = Lists(np.append(np.searchsorted(rows, both), len(v)), number)
         codes = [np.log10(p), np.log10(MU2 / (contexts + MU2)), q2, -np.log10(c2 + MU3), np.log10(c + MU3 * 10 ** q2[pair])]
         sequences = [self.words, *(e for x in (self.successors, self.predecessors, self.trigrams) for e in x.parts())]
         arrays = [a for e in sequences for a in (e.low, e.high)] + [coded(x) for x in codes]
@@ -207,7 +212,7 @@ class Trie:
         self.p, self.back, self.q2, self.d2, self.q3 = out
 
     def rank(self, words: np.ndarray) -> np.ndarray:
-        """The ranks of sorted hashes, -1 for words that aren't there."""
+        """The ranks of rising numbers, -1 for words that aren't there."""
         place, seen = self.words.successors(words)
         return np.where(seen, place, -1)
 
@@ -240,13 +245,13 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(common.FOLD).split()
 
 
-_CHUNKS = "chunk long, ids binary, train binary, sizes binary, tokens binary, words array<long>, c array<long>, n long, learnt long"
+_CHUNKS = "chunk long, ids binary, train binary, sizes binary, tokens binary, end int, words array<long>, c array<long>, n long, learnt long"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, train) in rows: ids, training flags, numbers of tokens, token numbers, and for each number the
     word's hash (rising, with the end) and its count in the chunk's training documents."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("n", pa.int64()), ("learnt", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("end", pa.int32()), ("words", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("n", pa.int64()), ("learnt", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -255,13 +260,14 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            hashes, back = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+            hashes, back = np.unique(np.append(hashes, np.uint64(END_HASH)), return_inverse=True)
             sizes = np.array([len(r) for r in rows], np.int64)
             tokens = back[np.concatenate(rows)].astype(np.uint32) if sizes.sum() else np.empty(0, np.uint32)
             flags = np.array(train, bool)
             counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(hashes))
-            counts[np.searchsorted(hashes, np.uint64(END))] += flags.sum()
-            values = [part << 20 | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), sizes.astype(np.uint32).tobytes(), tokens.tobytes(), hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
+            end = int(np.searchsorted(hashes, np.uint64(END_HASH)))
+            counts[end] += flags.sum()
+            values = [part << _SERIAL | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), sizes.astype(np.uint32).tobytes(), tokens.tobytes(), end, hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
@@ -281,34 +287,35 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(made: DataFrame, n: int) -> DataFrame:
-    """For every chunk the counts of its words over all chunks; `kinds`, the words that it is the first to hold; and of these the hot ones."""
+    """For every chunk its words' numbers and counts over all chunks; `kinds`, the learned words that it is the first to hold; and of these the hot ones."""
     listed = made.select("chunk", F.posexplode(F.arrays_zip("words", "c")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.c").alias("c"))
     same = Window.partitionBy("word")  # one row for each chunk
-    total = listed.select("chunk", "pos", "word", F.sum("c").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
+    at = F.shiftleft("chunk", _PLACE) + F.col("pos")
+    total = listed.select("chunk", "pos", "word", F.sum("c").over(same).alias("c"), F.min(at).over(same).alias("number")).withColumn("first", F.col("number") == at)
+    rows = F.sort_array(F.collect_list(F.struct("pos", "c", "number")))
     return total.groupBy("chunk").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("counts"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("kinds"),
-        F.collect_list(F.when(F.col("first") & (F.col("c") * HOT > n), F.col("word"))).alias("hot"))
+        rows.alias("rows"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("kinds"),
+        F.collect_list(F.when(F.col("first") & (F.col("c") * HOT > n), F.struct("word", "number"))).alias("hot")
+    ).select("chunk", F.col("rows.c").alias("counts"), F.col("rows.number").alias("numbers"), "kinds", "hot")
 
 
 class _Chunk:
-    """A row of `chunks`: for every token of its documents, ends included, the numbers of u, v and w and of the document."""
+    """A row of `chunks`: for every token of its documents, ends included, the places of u, v and w among the chunk's words
+    (the start comes after them), and of the document."""
 
-    def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, words: list | np.ndarray):
+    def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, end: int, words: int):
         self.ids = pickle.loads(ids)
         n = np.frombuffer(sizes, np.uint32).astype(np.int64)
         self.train = np.unpackbits(np.frombuffer(train, np.uint8))[: len(n)].astype(bool)
-        hashes = np.append(np.array(words, np.int64).view(np.uint64), np.uint64(START))  # the start comes last
-        self.words = hashes
-        end, start = int(np.searchsorted(hashes[:-1], np.uint64(END))), len(hashes) - 1
-        long = np.full(int((n + 3).sum()), start, np.uint32)  # two starts, the tokens and an end for each document
+        long = np.full(int((n + 3).sum()), words, np.uint32)  # two starts, the tokens and an end for each document
         at = np.concatenate([[0], np.cumsum(n + 3)[:-1]])
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
-        place = np.arange(len(self.doc)) + 2 * self.doc + 2
+        self.doc = np.repeat(np.arange(len(n), dtype=np.uint32), n + 1)
+        place = np.arange(len(self.doc)) + 2 * self.doc.astype(np.int64) + 2
         is_end = np.zeros(len(long), bool)
         is_end[at + n + 2] = True
         long[place[~is_end[place]]] = np.frombuffer(tokens, np.uint32)
         long[at + n + 2] = end
-        self.w, self.v, self.u = (long[place - k].astype(np.int64) for k in (0, 1, 2))
+        self.w, self.v, self.u = (long[place - k] for k in (0, 1, 2))
         self.n = n + 1
 
 
@@ -321,7 +328,7 @@ def _hash(*columns: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Trigrams of some texts: v, w and u as places in `words` (rising hashes, with their counts), places in `docs` (rising
+    """Trigrams of some texts: v, w and u as places in `words` (rising numbers, with their counts), places in `docs` (rising
     handles of documents), how often, and whether that document is learned from."""
 
     FIELDS = ("words", "counts", "docs", "v", "w", "u", "doc", "times", "learn")
@@ -331,24 +338,25 @@ class Block:
             setattr(self, name, a)
 
     def packed(self) -> bytes:
-        arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), *(x.astype(np.uint32) for x in (self.v, self.w, self.u, self.doc, self.times)), np.packbits(self.learn)]
+        rows = [np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in (self.v, self.w, self.u)]  # rows are sorted, so most steps are small
+        arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), *rows, self.doc.astype(np.uint32), self.times.astype(np.uint32), np.packbits(self.learn)]
         return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((len(self.v), [a.tobytes() for a in arrays]), protocol=5))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Block:
         n, raw = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        kinds = [np.uint64, np.int64, np.int64, *[np.uint32] * 5, np.uint8]
-        words, counts, docs, *rest, learn = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
-        return cls(np.cumsum(words), counts, np.cumsum(docs), *(x.astype(np.int64) for x in rest), np.unpackbits(learn)[:n].astype(bool))
+        kinds = [np.uint64, np.int64, np.int64, *[np.int32] * 3, *[np.uint32] * 2, np.uint8]
+        words, counts, docs, v, w, u, doc, times, learn = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
+        return cls(np.cumsum(words), counts, np.cumsum(docs), *(np.cumsum(x, dtype=np.int32).astype(np.uint32) for x in (v, w, u)), doc, times, np.unpackbits(learn)[:n].astype(bool))
 
     @classmethod
     def merged(cls, blocks: list[Block]) -> Block:
         words, first = np.unique(np.concatenate([b.words for b in blocks]), return_index=True)
         counts = np.concatenate([b.counts for b in blocks])[first]
         docs = np.unique(np.concatenate([b.docs for b in blocks]))
-        maps = [np.searchsorted(words, b.words) for b in blocks]
+        maps = [np.searchsorted(words, b.words).astype(np.uint32) for b in blocks]
         spread = [np.concatenate([m[getattr(b, x)] for m, b in zip(maps, blocks)]) for x in "vwu"]
-        doc = np.concatenate([np.searchsorted(docs, b.docs)[b.doc] for b in blocks])
+        doc = np.concatenate([np.searchsorted(docs, b.docs).astype(np.uint32)[b.doc] for b in blocks])
         return cls(words, counts, docs, *spread, doc, np.concatenate([b.times for b in blocks]), np.concatenate([b.learn for b in blocks]))
 
     def some(self, rows: np.ndarray) -> Block:
@@ -356,7 +364,7 @@ class Block:
         used = np.zeros(len(self.words), bool)
         for x in (v, w, u):
             used[x] = True
-        to = np.cumsum(used) - 1
+        to = (np.cumsum(used) - 1).astype(np.uint32)
         docs = np.unique(doc)
         return Block(self.words[used], self.counts[used], self.docs[docs], to[v], to[w], to[u], np.searchsorted(docs, doc), self.times[rows], self.learn[rows])
 
@@ -375,24 +383,29 @@ class Block:
             yield int(part[order[a]]), self.some(order[a:b])
 
 
-def hot_pairs(made: DataFrame, hot: np.ndarray, n: int) -> dict[tuple[int, int], int]:
-    """(v, w) and count of the pairs of hot words that are more than 1/HOT of all training tokens; START and END are hot."""
+def hot_pairs(made: DataFrame, words: dict[int, int], n: int) -> dict[tuple[int, int], int]:
+    """Numbers (v, w) and count of the pairs of hot words that are more than 1/HOT of all training tokens; END and START
+    are among them. words: the hot words' numbers by their hashes."""
+    hot = np.array(sorted(words), np.uint64)
+    numbers = [*(words[int(h)] for h in hot), END, START]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(hot) ** 2, np.int64)
+        kinds = len(hot) + 2
+        counts = np.zeros(kinds**2, np.int64)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                chunk = _Chunk(*row)
-                place = np.minimum(np.searchsorted(hot, chunk.words), len(hot) - 1)
-                place = np.where(hot[place] == chunk.words, place, -1)
+                *fields, end, words = row
+                chunk, hashes = _Chunk(*fields, end, len(words)), np.append(np.array(words, np.int64).view(np.uint64), np.uint64(0))
+                place = np.where(np.isin(hashes, hot), np.searchsorted(hot, hashes), -1)
+                place[[end, -1]] = len(hot), len(hot) + 1
                 v, w = place[chunk.v], place[chunk.w]
                 good = (v >= 0) & (w >= 0) & chunk.train[chunk.doc]
-                counts += np.bincount(v[good] * len(hot) + w[good], minlength=len(counts))
+                counts += np.bincount(v[good] * kinds + w[good], minlength=len(counts))
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["pair", "c"])
 
-    rows = made.select("ids", "train", "sizes", "tokens", "words").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") * HOT > n)
-    return {(int(hot[r["pair"] // len(hot)]), int(hot[r["pair"] % len(hot)])): r["c"] for r in rows.collect()}  # fewer than HOT rows
+    rows = made.select("ids", "train", "sizes", "tokens", "end", "words").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") * HOT > n)
+    return {(numbers[r["pair"] // len(numbers)], numbers[r["pair"] % len(numbers)]): r["c"] for r in rows.collect()}  # fewer than HOT rows
 
 
 _BLOCKS = "part long, block binary"
@@ -409,21 +422,25 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, *fields, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                chunk = _Chunk(*fields)
-                of = np.array([*counts, learnt], np.int64)
+            for i, (number, *fields, end) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
+                counts, numbers = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns[6:])
+                chunk = _Chunk(*fields, end, len(counts))
+                of = np.append(counts, learnt)
+                words = np.append(numbers, START).astype(np.uint64)
+                words[end] = END
                 base, known = np.log10((of + 1) / (n + kinds + 1))[chunk.w], (of > 0)[chunk.w]
                 docs = (number << 16) + np.arange(len(chunk.ids))
                 sums = [np.bincount(chunk.doc, x, len(docs)) for x in (known, base)]
                 yield _rows([-1 - number % shards], [pickle.dumps((docs, chunk.ids, chunk.n, *sums), protocol=5)])
-                order = np.lexsort((chunk.doc, chunk.u, chunk.w, chunk.v))
-                v, w, u, doc = (x[order] for x in (chunk.v, chunk.w, chunk.u, chunk.doc))
+                rank = np.argsort(words)
+                to = np.empty(len(rank), np.uint32)
+                to[rank] = np.arange(len(rank), dtype=np.uint32)
+                v, w, u, doc = to[chunk.v], to[chunk.w], to[chunk.u], chunk.doc
+                order = np.lexsort((doc, u, w, v))
+                v, w, u, doc = (x[order] for x in (v, w, u, doc))
                 first = _edges(v, w, u, doc)
                 times = np.diff(np.append(first, len(v)))
-                rank = np.argsort(chunk.words)
-                to = np.empty_like(rank)
-                to[rank] = np.arange(len(rank))
-                whole = Block(chunk.words[rank], of[rank], docs, to[v[first]], to[w[first]], to[u[first]], doc[first], times, chunk.train[doc[first]])
+                whole = Block(words[rank], of[rank], docs, v[first], w[first], u[first], doc[first], times, chunk.train[doc[first]])
                 for part, block in whole.dealt(shards, _width(shards), hot, pairs):
                     yield _rows([part], [block.packed()])
 
@@ -453,7 +470,7 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
 
         return run
 
-    out = made.select("chunk", "ids", "train", "sizes", "tokens", "words", "counts").mapInArrow(make, _BLOCKS)
+    out = made.select("chunk", "ids", "train", "sizes", "tokens", "end", "counts", "numbers").mapInArrow(make, _BLOCKS)
     width = _width(shards)
     while width > 1:
         groups = -(-shards // width)
@@ -516,12 +533,14 @@ def score(docs: DataFrame) -> DataFrame:
     n, learnt = int(total["n"] or 0), int(total["learnt"] or 0)
     counts = common.stored(word_counts(made.select("chunk", "words", "c"), n), "words")
     kinds = int(counts.agg(F.sum("kinds")).first()[0] or 0)
-    hot = {END, START} | {r[0] % 2**64 for r in counts.select(F.explode("hot")).collect()}  # fewer than HOT rows
-    hot = np.array(sorted(hot), np.uint64)
-    pairs = hot_pairs(made, hot, n)
+    words = {r["word"] % 2**64: r["number"] for r in counts.select(F.explode("hot").alias("h")).select("h.*").collect()}  # fewer than HOT rows
+    words.pop(END_HASH, None)
+    hot = np.array(sorted([*words.values(), END, START]), np.uint64)
+    pairs = hot_pairs(made, words, n)
+    common.tidy(docs.sparkSession)  # the shuffles of words aren't needed any more
     keys = _hash(*(np.array(x, np.uint64) for x in zip(*pairs))) if pairs else np.empty(0, np.uint64)
     shards = max(common.partitions(docs.sparkSession), -(-n // SHARD_TOKENS))
-    dealt = blocks(made.join(counts.select("chunk", "counts"), "chunk"), shards, hot, keys, n, kinds, learnt)
+    dealt = blocks(made.drop("words", "c").join(counts.select("chunk", "counts", "numbers"), "chunk"), shards, hot, keys, n, kinds, learnt)
     parts = dealt.repartition(common.tasks(shards), "part").groupBy("part").applyInPandas(_answer(n, kinds, pairs), _SCORED)
     summed = parts.groupBy("handle").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
     begin = float(-np.log10(learnt + MU3))  # the first token's context

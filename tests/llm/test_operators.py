@@ -234,11 +234,13 @@ def test_trie_walks_to_what_it_holds():
     half = rows[rng.random(len(rows)) < 0.5]
     c = rng.integers(1, 9, len(half))
     p, contexts = np.full(len(words), 1e-3), np.full(len(words), 40)
-    trie = ngram_lm.Trie(words, p, contexts, *half.T, c, {})
+    trie = ngram_lm.Trie(words, p, contexts, *half.T, c, {(7, 8): 99, (299, 3): 5})
     held = {tuple(r): n for r, n in zip(half.tolist(), c.tolist())}
     pairs = Counter()
     for (v, w, _), n in held.items():
         pairs[v, w] += n
+    pairs[7, 8], pairs[299, 3] = 99, 5  # counted elsewhere, whether they stand here or not
+    rows = np.concatenate([rows, [(7, 8, 1), (299, 3, 2)]])
     rows[::17, 1] = -1
     rows = rows[np.lexsort(rows.T[::-1])]
     numerator, denominator = trie.score(*rows.T, -9.0)
