@@ -48,7 +48,7 @@ from . import common
 #: Chosen by texts held out of the training rows of sf0.01.
 MU2, MU3 = 200.0, 2.0
 #: Bytes and documents of a chunk, tokens of a shard, blocks that a task may give at once, bytes put together on the way.
-CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 16_000_000, 60_000, 2_500_000, 256, 32_000_000
+CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 8_000_000, 60_000, 1_500_000, 256, 32_000_000
 HOT = 1000
 #: The hash of the end among words; the numbers of the end and of the start, above those of all words.
 END_HASH = 0x6C62272E07BB0142
@@ -57,7 +57,7 @@ END, START = (1 << 62) + 1, (1 << 62) + 2
 _SERIAL, _PLACE = 12, 30
 #: Codes are steps of STEP above LEAST.
 LEAST, STEP = -24.0, 1 / 2048
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,9 +68,11 @@ class EliasFano:
         self.n = len(values)
         top = int(values[-1]) if self.n else 0
         self.low_bits = max(0, (top // max(1, self.n)).bit_length() - 1)
-        low = values & np.uint64((1 << self.low_bits) - 1)
-        bits = ((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if self.n else np.empty((0, 0), np.uint8)
-        self.low = np.packbits(bits.reshape(-1))
+        places = np.arange(self.low_bits, dtype=np.uint64)
+        packed = [np.empty(0, np.uint8)]
+        for at in range(0, self.n, BLOCK):  # a block's low bits fill whole bytes
+            packed.append(np.packbits((values[at : at + BLOCK, None] >> places).astype(np.uint8) & np.uint8(1)))
+        self.low = np.concatenate(packed)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(self.n)
         unary = np.zeros(int(high[-1]) + 1 if self.n else 0, np.uint8)
         unary[high] = 1
@@ -93,12 +95,13 @@ class EliasFano:
         return high << np.uint64(self.low_bits) | low
 
     def values(self, places: np.ndarray) -> np.ndarray:
-        """The values at some places."""
+        """The values at some places, which rise."""
         out = np.zeros(len(places), np.uint64)
         of = places // BLOCK
-        for b in np.unique(of):
-            mine = of == b
-            out[mine] = self.block(int(b))[places[mine] - int(b) * BLOCK]
+        first = _edges(of)
+        for lo, hi in zip(first, np.append(first[1:], len(places))):
+            b = int(of[lo])
+            out[lo:hi] = self.block(b)[places[lo:hi] - b * BLOCK]
         return out
 
     def successors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +143,8 @@ class Lists:
         out = np.full(len(nodes), -1, np.int64)
         if not len(nodes) or not self.numbers.n:
             return out
-        distinct, back = np.unique(nodes, return_inverse=True)
+        first = _edges(nodes)
+        distinct, back = nodes[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(nodes))))
         lo, hi = self.pointers.values(distinct).astype(np.int64), self.pointers.values(distinct + 1).astype(np.int64)
         before = np.where(lo > 0, self.numbers.values(np.maximum(lo - 1, 0)), np.uint64(0))
         end = np.where(hi > 0, self.numbers.values(np.maximum(hi - 1, 0)), np.uint64(0))
@@ -157,6 +161,21 @@ class Lists:
         return [self.pointers, self.numbers]
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values, rising."""
+    x = np.sort(x)
+    return x[_edges(x)]
+
+
+def _order(v: np.ndarray, w: np.ndarray, u: np.ndarray, n: int) -> np.ndarray:
+    """The order of rows by (v, w, u), numbers below n; equal rows stay in their order."""
+    bits = max(1, int(n).bit_length())
+    if 3 * bits > 64:
+        return np.lexsort((u, w, v))
+    key = (v.astype(np.uint64) << np.uint64(2 * bits)) | (w.astype(np.uint64) << np.uint64(bits)) | u.astype(np.uint64)
+    return np.argsort(key, kind="stable")
+
+
 def _begins(parents: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(parents, np.arange(n + 1))
 
@@ -179,13 +198,13 @@ class Trie:
         n = len(words)
         rows = v.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
         spread = np.array([a << 32 | b for a, b in pairs], np.uint64)
-        both = np.union1d(rows, spread)  # a pair that is spread may have no training trigram here
+        both = _sorted(np.concatenate([rows[_edges(rows)], spread]))  # a pair that is spread may have no training trigram here
         v2, w2 = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         pair = np.searchsorted(both, rows)
         c2 = np.bincount(pair, c, len(both)).astype(np.int64)
         c2[np.searchsorted(both, spread)] = list(pairs.values())
         q2 = np.log10((c2 + MU2 * p[w2]) / (contexts[v2] + MU2))
-        own = np.unique(v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64))
+        own = _sorted(v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64))
         v_of = (own >> np.uint64(32)).astype(np.int64)
         begin = _begins(v_of, n)
         number = np.searchsorted(own, v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64)) - begin[v]
@@ -230,7 +249,9 @@ class Trie:
         denominator[rows] = decoded(self.d2[pair])
         known = u[rows] >= 0
         rows, pair = rows[known], pair[known]
-        own, back = np.unique(v[rows].astype(np.uint64) << np.uint64(32) | u[rows].astype(np.uint64), return_inverse=True)
+        key = v[rows].astype(np.uint64) << np.uint64(32) | u[rows].astype(np.uint64)
+        own = _sorted(key)
+        back = np.searchsorted(own, key)
         node = (own >> np.uint64(32)).astype(np.int64)
         number = self.predecessors.find(node, (own & np.uint64(0xFFFFFFFF)).astype(np.int64))
         start = self.predecessors.pointers.values(node).astype(np.int64)
@@ -351,9 +372,12 @@ class Block:
 
     @classmethod
     def merged(cls, blocks: list[Block]) -> Block:
-        words, first = np.unique(np.concatenate([b.words for b in blocks]), return_index=True)
-        counts = np.concatenate([b.counts for b in blocks])[first]
-        docs = np.unique(np.concatenate([b.docs for b in blocks]))
+        words = np.concatenate([b.words for b in blocks])
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        first = _edges(words)
+        words, counts = words[first], np.concatenate([b.counts for b in blocks])[order][first]
+        docs = _sorted(np.concatenate([b.docs for b in blocks]))
         maps = [np.searchsorted(words, b.words).astype(np.uint32) for b in blocks]
         spread = [np.concatenate([m[getattr(b, x)] for m, b in zip(maps, blocks)]) for x in "vwu"]
         doc = np.concatenate([np.searchsorted(docs, b.docs).astype(np.uint32)[b.doc] for b in blocks])
@@ -370,13 +394,13 @@ class Block:
 
     def dealt(self, shards: int, width: int, hot: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, Block]]:
         """This block's parts for groups of `width` shards."""
-        v, w, u = self.words[self.v], self.words[self.w], self.words[self.u]
-        key = _hash(v)
-        frequent = np.isin(v, hot)
-        key[frequent] = _hash(v[frequent], w[frequent])
-        both = frequent & np.isin(_hash(v, w), pairs)
-        key[both] = _hash(v[both], w[both], u[both])
-        part = (key % np.uint64(shards)).astype(np.int64) // width
+        part = (_hash(self.words) % np.uint64(shards)).astype(np.int32)[self.v]
+        rows = np.flatnonzero(np.isin(self.words, hot)[self.v])
+        key = _hash(self.words[self.v[rows]], self.words[self.w[rows]])
+        part[rows] = key % np.uint64(shards)
+        rows, key = rows[known := np.isin(key, pairs)], key[known]
+        part[rows] = _hash(key, self.words[self.u[rows]]) % np.uint64(shards)
+        part //= width
         order = np.argsort(part, kind="stable")
         edges = _edges(part[order])
         for a, b in zip(edges, np.append(edges[1:], len(order))):
@@ -436,7 +460,7 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
                 to = np.empty(len(rank), np.uint32)
                 to[rank] = np.arange(len(rank), dtype=np.uint32)
                 v, w, u, doc = to[chunk.v], to[chunk.w], to[chunk.u], chunk.doc
-                order = np.lexsort((doc, u, w, v))
+                order = _order(v, w, u, len(rank))  # documents stay in their order
                 v, w, u, doc = (x[order] for x in (v, w, u, doc))
                 first = _edges(v, w, u, doc)
                 times = np.diff(np.append(first, len(v)))
@@ -512,7 +536,7 @@ def _answer(n: int, kinds: int, pairs: dict[tuple[int, int], int]):
             ids = pd.array([i for p in parts for i in p[1]], "Int64")
             return pd.DataFrame({"handle": handles, "doc_id": ids, "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base, "model": 0.0})
         block = Block.merged([Block.unpacked(b) for b in pdf["block"]])
-        order = np.lexsort((block.u, block.w, block.v))
+        order = _order(block.v, block.w, block.u, len(block.words))
         for x in ("v", "w", "u", "doc", "times", "learn"):
             setattr(block, x, getattr(block, x)[order])
         trie, rank = _trained(block, n, kinds, pairs)
