@@ -48,7 +48,7 @@ from . import common
 #: Chosen by texts held out of the training rows of sf0.01.
 MU2, MU3 = 200.0, 2.0
 #: Bytes and documents of a chunk, tokens of a shard, blocks that a task may give at once, bytes put together on the way.
-CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 8_000_000, 60_000, 1_500_000, 256, 32_000_000
+CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 12_000_000, 60_000, 1_500_000, 256, 32_000_000
 HOT = 1000
 #: The hash of the end among words; the numbers of the end and of the start, above those of all words.
 END_HASH = 0x6C62272E07BB0142
@@ -262,17 +262,28 @@ class Trie:
         return numerator, denominator
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else np.empty(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _expanded(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(common.FOLD).split()
 
 
-_CHUNKS = "chunk long, ids binary, train binary, sizes binary, tokens binary, end int, words array<long>, c array<long>, n long, learnt long"
+_CHUNKS = "chunk long, ids binary, train binary, sizes binary, tokens binary, words array<long>, c array<long>, n long, learnt long"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, train) in rows: ids, training flags, numbers of tokens, token numbers, and for each number the
-    word's hash (rising, with the end) and its count in the chunk's training documents."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("end", pa.int32()), ("words", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("n", pa.int64()), ("learnt", pa.int64())])
+    """Documents (doc_id, text, train) in rows: ids, training flags, numbers of tokens, token numbers, and for each number (the
+    more frequent the smaller, then the end) the word's hash and its count in the chunk's training documents."""
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("n", pa.int64()), ("learnt", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -281,14 +292,16 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            hashes, back = np.unique(np.append(hashes, np.uint64(END_HASH)), return_inverse=True)
             sizes = np.array([len(r) for r in rows], np.int64)
-            tokens = back[np.concatenate(rows)].astype(np.uint32) if sizes.sum() else np.empty(0, np.uint32)
+            tokens = np.concatenate(rows) if sizes.sum() else np.empty(0, np.uint32)
+            order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+            to = np.empty(len(order), np.uint32)
+            to[order] = np.arange(len(order), dtype=np.uint32)
+            hashes, tokens = np.append(hashes[order], np.uint64(END_HASH)), to[tokens]
             flags = np.array(train, bool)
             counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(hashes))
-            end = int(np.searchsorted(hashes, np.uint64(END_HASH)))
-            counts[end] += flags.sum()
-            values = [part << _SERIAL | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), sizes.astype(np.uint32).tobytes(), tokens.tobytes(), end, hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
+            counts[-1] += flags.sum()
+            values = [part << _SERIAL | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), _squeezed(sizes.astype(np.uint32)), _squeezed(tokens), hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
@@ -322,11 +335,11 @@ def word_counts(made: DataFrame, n: int) -> DataFrame:
 
 class _Chunk:
     """A row of `chunks`: for every token of its documents, ends included, the places of u, v and w among the chunk's words
-    (the start comes after them), and of the document."""
+    (the last is the end, the start comes after it), and of the document."""
 
-    def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, end: int, words: int):
+    def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, words: int):
         self.ids = pickle.loads(ids)
-        n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        n = _expanded(sizes, np.uint32).astype(np.int64)
         self.train = np.unpackbits(np.frombuffer(train, np.uint8))[: len(n)].astype(bool)
         long = np.full(int((n + 3).sum()), words, np.uint32)  # two starts, the tokens and an end for each document
         at = np.concatenate([[0], np.cumsum(n + 3)[:-1]])
@@ -334,8 +347,8 @@ class _Chunk:
         place = np.arange(len(self.doc)) + 2 * self.doc.astype(np.int64) + 2
         is_end = np.zeros(len(long), bool)
         is_end[at + n + 2] = True
-        long[place[~is_end[place]]] = np.frombuffer(tokens, np.uint32)
-        long[at + n + 2] = end
+        long[place[~is_end[place]]] = _expanded(tokens, np.uint32)
+        long[at + n + 2] = words - 1
         self.w, self.v, self.u = (long[place - k] for k in (0, 1, 2))
         self.n = n + 1
 
@@ -359,16 +372,17 @@ class Block:
             setattr(self, name, a)
 
     def packed(self) -> bytes:
-        rows = [np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in (self.v, self.w, self.u)]  # rows are sorted, so most steps are small
-        arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), *rows, self.doc.astype(np.uint32), self.times.astype(np.uint32), np.packbits(self.learn)]
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((len(self.v), [a.tobytes() for a in arrays]), protocol=5))
+        v, w = (np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in (self.v, self.w))  # rows are sorted, so most steps are small
+        arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), v, w, *(x.astype(np.uint32) for x in (self.u, self.doc, self.times)), np.packbits(self.learn)]
+        return pickle.dumps((len(self.v), [_squeezed(a) for a in arrays]), protocol=5)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Block:
-        n, raw = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        kinds = [np.uint64, np.int64, np.int64, *[np.int32] * 3, *[np.uint32] * 2, np.uint8]
-        words, counts, docs, v, w, u, doc, times, learn = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
-        return cls(np.cumsum(words), counts, np.cumsum(docs), *(np.cumsum(x, dtype=np.int32).astype(np.uint32) for x in (v, w, u)), doc, times, np.unpackbits(learn)[:n].astype(bool))
+        n, raw = pickle.loads(data)
+        kinds = [np.uint64, np.int64, np.int64, *[np.int32] * 2, *[np.uint32] * 3, np.uint8]
+        words, counts, docs, v, w, u, doc, times, learn = (_expanded(r, k) for r, k in zip(raw, kinds))
+        v, w = (np.cumsum(x, dtype=np.int32).astype(np.uint32) for x in (v, w))
+        return cls(np.cumsum(words), counts, np.cumsum(docs), v, w, u, doc, times, np.unpackbits(learn)[:n].astype(bool))
 
     @classmethod
     def merged(cls, blocks: list[Block]) -> Block:
@@ -418,17 +432,17 @@ def hot_pairs(made: DataFrame, words: dict[int, int], n: int) -> dict[tuple[int,
         counts = np.zeros(kinds**2, np.int64)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                *fields, end, words = row
-                chunk, hashes = _Chunk(*fields, end, len(words)), np.append(np.array(words, np.int64).view(np.uint64), np.uint64(0))
+                *fields, words = row
+                chunk, hashes = _Chunk(*fields, len(words)), np.append(np.array(words, np.int64).view(np.uint64), np.uint64(0))
                 place = np.where(np.isin(hashes, hot), np.searchsorted(hot, hashes), -1)
-                place[[end, -1]] = len(hot), len(hot) + 1
+                place[-2:] = len(hot), len(hot) + 1
                 v, w = place[chunk.v], place[chunk.w]
                 good = (v >= 0) & (w >= 0) & chunk.train[chunk.doc]
                 counts += np.bincount(v[good] * kinds + w[good], minlength=len(counts))
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["pair", "c"])
 
-    rows = made.select("ids", "train", "sizes", "tokens", "end", "words").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") * HOT > n)
+    rows = made.select("ids", "train", "sizes", "tokens", "words").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") * HOT > n)
     return {(numbers[r["pair"] // len(numbers)], numbers[r["pair"] % len(numbers)]): r["c"] for r in rows.collect()}  # fewer than HOT rows
 
 
@@ -446,12 +460,12 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (number, *fields, end) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
-                counts, numbers = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns[6:])
-                chunk = _Chunk(*fields, end, len(counts))
+            for i, (number, *fields) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+                counts, numbers = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns[5:])
+                chunk = _Chunk(*fields, len(counts))
                 of = np.append(counts, learnt)
                 words = np.append(numbers, START).astype(np.uint64)
-                words[end] = END
+                words[-2] = END
                 base, known = np.log10((of + 1) / (n + kinds + 1))[chunk.w], (of > 0)[chunk.w]
                 docs = (number << 16) + np.arange(len(chunk.ids))
                 sums = [np.bincount(chunk.doc, x, len(docs)) for x in (known, base)]
@@ -494,7 +508,7 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
 
         return run
 
-    out = made.select("chunk", "ids", "train", "sizes", "tokens", "end", "counts", "numbers").mapInArrow(make, _BLOCKS)
+    out = made.select("chunk", "ids", "train", "sizes", "tokens", "counts", "numbers").mapInArrow(make, _BLOCKS)
     width = _width(shards)
     while width > 1:
         groups = -(-shards // width)
