@@ -19,6 +19,7 @@ OUTLINES = {
     "8way": "8-way",
     "square": "8-way",
 }
+BLANKS = " \t\n\r\f\v"
 # fixed values: words that can't be a name
 KEYWORDS = "and break do else elseif end false for function goto if in local nil not or repeat return then true until while".split()
 
@@ -61,9 +62,64 @@ def outline_kind(value) -> str:
     return OUTLINES[word]
 
 
+def trimmed(value: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.trim(value, F.lit(BLANKS))
+
+
+def given(value: Column) -> Column:
+    """The value; null for none and for the empty text."""
+    return F.nullif(value, F.lit(""))
+
+
+def boolean_column(value: Column, default: bool, grammar: tuple[set, set] = STRICT) -> Column:
+    """`boolean` of a column: an error, when read, for what is neither yes nor no."""
+    word = F.lower(trimmed(value))
+    wrong = F.raise_error(F.concat(F.lit("not a yes or no: "), value)).cast("boolean")
+    return F.when(given(value).isNull(), F.lit(default)).when(word.isin(*sorted(grammar[0])), F.lit(True)).when(word.isin(*sorted(grammar[1])), F.lit(False)).otherwise(wrong)
+
+
+def lenient_column(value: Column, default: bool) -> Column:
+    return F.when(given(value).isNull(), F.lit(default)).otherwise(F.lower(value).isin(*sorted(LENIENT)))
+
+
+def number_column(value: Column, default: float) -> Column:
+    """`number` of a column: an error, when read, for what is no number."""
+    return F.coalesce(given(value).cast("double"), F.lit(default))
+
+
+def integer_column(value: Column) -> Column:
+    return F.floor(given(value).cast("double")).cast("long")
+
+
+def outline_column(value: Column) -> Column:
+    word = F.lower(trimmed(value))
+    known = F.create_map(*[F.lit(x) for pair in OUTLINES.items() for x in pair])
+    wrong = F.raise_error(F.concat(F.lit("not an outline: "), value)).cast("string")
+    return F.when(given(value).isNull(), F.lit("4-way")).otherwise(F.coalesce(F.try_element_at(known, word), wrong))
+
+
+def identifier_column(name: Column) -> Column:
+    """`identifier` of a column."""
+    word = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"), "^[0-9_]+", "")
+    word = F.when(word == "", "_").otherwise(word)
+    return F.when(word.isin(*KEYWORDS), F.concat(word, F.lit("_"))).otherwise(word)
+
+
 def export_name(value: Column, title: Column) -> Column:
     """A given name without blanks around it, or the title."""
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), title)
+    return F.coalesce(F.nullif(trimmed(value), F.lit("")), title)
+
+
+def default_name(path: Column) -> Column:
+    """What an imported document is called: its file's name without the last ending; `sprite` for none."""
+    file = F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+    return F.coalesce(F.nullif(F.regexp_replace(file, r"\.[^.]*$", ""), F.lit("")), F.lit("sprite"))
+
+
+def joined_path(folder: Column, name: Column) -> Column:
+    """folder/name, with one separator between them; the name alone without a folder."""
+    return F.when(given(folder).isNull(), name).otherwise(F.concat(F.regexp_replace(folder, r"[/\\\\]+$", ""), F.lit("/"), name))
 
 
 def base_name(name: Column) -> Column:

@@ -171,11 +171,14 @@ def anchored(rows: list[int], columns: list[int], box: tuple[int, int, int, int]
 
 
 def frame_cuts(profiles: DataFrame, method: str, pitch: float) -> DataFrame:
-    """frame, axis, cuts by `snapped` or `regularised` from profiles (frame, axis, pos, value)."""
+    """frame, axis, cuts by `snapped`, `regularised` or `uniform` from profiles (frame, axis, pos, value)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("pos")["value"].to_numpy(float)
-        cuts = snapped(p, pitch) if method == "snapped" else regularised(p, max(int(len(p) // pitch), 1), pitch)
+        if method == "uniform":
+            cuts = uniform(len(p), max(half_up(len(p) / pitch), 1))
+        else:
+            cuts = snapped(p, pitch) if method == "snapped" else regularised(p, max(int(len(p) // pitch), 1), pitch)
         return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "axis": [pdf["axis"].iloc[0]], "cuts": [[int(c) for c in cuts]]})
 
     return profiles.groupBy("frame", "axis").applyInPandas(run, "frame int, axis string, cuts array<int>")

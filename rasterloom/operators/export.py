@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.operators.stencil import crop
+
 _NUMBERED = "^(.*?)([0-9]+)$"
 
 
@@ -43,9 +45,8 @@ def regions(slices: DataFrame, width: int, height: int) -> DataFrame:
 
 def nonempty(regions: DataFrame, pixels: DataFrame) -> DataFrame:
     """regions with an opaque pixel in some frame; places are reduced over frames before they meet regions."""
-    places = pixels.filter("a > 0").select("y", "x").distinct()
-    rows = regions.withColumn("y", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("bh") - 1)))
-    found = rows.join(places, "y").filter("x >= bx and x < bx + bw").select("label").distinct()
+    places = pixels.filter("a > 0").select("y", "x").distinct().select(F.lit(0).alias("frame"), "y", "x", *[F.lit(0).alias(c) for c in "rgba"])
+    found = crop(places, regions).select("label").distinct()
     return regions.join(found, "label", "left_semi")
 
 

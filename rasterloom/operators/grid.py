@@ -58,13 +58,38 @@ def by_cuts(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
     return pixels.join(axis("x", "tx"), ["frame", "x"]).join(axis("y", "ty"), ["frame", "y"])
 
 
-def transitions(pixels: DataFrame) -> DataFrame:
-    """frame, axis, boundary: where some pair across it is opaque on both sides and differs in colour."""
+def first_seen_vote(cells: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
+    """keys, r, g, b, a: the most frequent opaque colour of each cell, of equals the one seen first in reading order; a cell
+    with less than that share of opaque pixels, unrounded, is transparent. cells: keys, y, x, r, g, b, a."""
+    counts = cells.groupBy(*keys, *"rgba").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("first"))
+    best = F.min(F.when(F.col("a") > 0, F.struct((-F.col("n")).alias("m"), "first", "r", "g", "b", "a")))
+    voted = counts.groupBy(*keys).agg(best.alias("best"), F.sum("n").alias("area"), F.coalesce(F.sum(F.when(F.col("a") > 0, F.col("n"))), F.lit(0)).alias("opaque"))
+    enough = (F.col("opaque") > 0) & (F.col("opaque") >= F.col("area") * share)
+    return voted.select(*keys, *[F.when(enough, F.col(f"best.{c}")).otherwise(0).cast("int").alias(c) for c in "rgba"])
+
+
+def spread_widths(span: Column, cells: Column) -> Column:
+    """The widths of so many cells over a span: the pixels left over go to cells spread evenly, not to the first ones."""
+    base, rest = F.floor(span / cells), F.pmod(span, cells)
+    wider = F.transform(F.sequence(F.lit(0), F.greatest(rest - 1, F.lit(0)).cast("int")), lambda i: F.floor(i * (cells / rest)))
+    one = lambda i: (base + F.when((rest > 0) & F.array_contains(wider, i.cast("long")), 1).otherwise(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), (cells - 1).cast("int")), one)
+
+
+def boundaries(start: Column, widths: Column) -> Column:
+    """(start, end) of cells of these widths one after the other."""
+    upto = lambda i: F.aggregate(F.slice(widths, F.lit(1), i), start.cast("int"), lambda s, w: s + w)
+    return F.transform(widths, lambda w, i: F.struct(upto(i).alias("start"), (upto(i) + w).alias("end")))
+
+
+def transitions(pixels: DataFrame, tolerance: int = 0) -> DataFrame:
+    """frame, axis, boundary: where some pair across it is opaque on both sides and differs by more than the tolerance in
+    some channel."""
 
     def axis(name: str, along: str, across: str) -> DataFrame:
         w = Window.partitionBy("frame", across).orderBy(along)
         after = F.lead(F.struct("r", "g", "b", "a")).over(w)
-        changed = (F.col("a") > 0) & (after["a"] > 0) & ((F.col("r") != after["r"]) | (F.col("g") != after["g"]) | (F.col("b") != after["b"]))
+        changed = (F.col("a") > 0) & (after["a"] > 0) & (F.greatest(*[F.abs(F.col(c) - after[c]) for c in "rgb"]) > tolerance)
         return pixels.select("frame", F.lit(name).alias("axis"), (F.col(along) + 1).alias("boundary"), changed.alias("changed")).filter("changed").select("frame", "axis", "boundary").distinct()
 
     return axis("x", "x", "y").unionByName(axis("y", "y", "x"))

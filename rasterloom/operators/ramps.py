@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,35 @@ from rasterloom.operators.palette import circular_mean, nearest_rank
 from rasterloom.sources.scratch import settled
 
 # fixed values
-STRENGTH, DARK, LIGHT, CEILING, MOST = 0.5, 0.15, 0.86, 0.30, 16
-WARM, COOL, WARM_PULL, COOL_PULL = 70.0, 250.0, 0.25, 0.35
-DARK_BELL, LIGHT_BELL, GREY_STOPS = 0.25, 0.45, 5
+DARK, MOST, DARK_BELL, GREY_STOPS = 0.15, 16, 0.25, 5
+#: The light end and the least chroma of light stops, with and without contrast preserved.
+LIGHT, LIGHT_BELL = {True: 0.86, False: 0.92}, {True: 0.45, False: 0.25}
+
+
+@dataclass(frozen=True)
+class Style:
+    """How ramps are made. strength: from 0, as in the source, to 1, all of the shift. Attractors are hues in degrees."""
+
+    strength: float = 0.5
+    preserve_contrast: bool = True
+    warm: float = 70.0
+    cool: float = 250.0
+    highlight_pull: float = 0.25
+    shadow_pull: float = 0.35
+    ceiling: float = 0.30
+    shared_shadow: bool = True
+    shared_highlight: bool = False
+
+    @property
+    def amount(self) -> float:
+        return min(max(self.strength, 0.0), 1.0)
+
+    @property
+    def light_end(self) -> bool:
+        """Whether ramps share their last stop: never with contrast preserved."""
+        return self.shared_highlight and not self.preserve_contrast
+
+
 
 
 def _spread(low: Column, high: Column, by: float) -> tuple[Column, Column]:
@@ -23,7 +50,7 @@ def _spread(low: Column, high: Column, by: float) -> tuple[Column, Column]:
     return F.when(thin, F.greatest(F.lit(0.0), low - by)).otherwise(low), F.when(thin, F.least(F.lit(1.0), high + by)).otherwise(high)
 
 
-def chromatic(clustered: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+def chromatic(clustered: DataFrame, stops: DataFrame | None = None, style: Style = Style()) -> DataFrame:
     """ramp, stop (from 1), base_hue, weight, lightness, chroma, hue and r, g, b. clustered: entries with cluster.
 
     stops: cluster and n, the stops it gets; without it they follow the cluster's range of lightness.
@@ -33,14 +60,14 @@ def chromatic(clustered: DataFrame, stops: DataFrame | None = None) -> DataFrame
         nearest_rank("lab_l", 0.05).alias("p5"), nearest_rank("lab_l", 0.95).alias("p95"), F.when(many, nearest_rank("chroma", 0.90)).otherwise(nearest_rank("chroma", 0.75)).alias("vivid"),
         circular_mean("hue", "w").alias("base_hue"), F.sum("w").alias("weight"))
     low, high = _spread(F.col("p5"), F.col("p95"), 0.08)
-    ramps = ramps.withColumn("low", C.lerp(low, F.lit(DARK), F.lit(STRENGTH))).withColumn("high", C.lerp(high, F.lit(LIGHT), F.lit(STRENGTH))).withColumn("vivid", C.clamp(F.col("vivid"), 0.01, CEILING))
+    ramps = ramps.withColumn("low", C.lerp(low, F.lit(DARK), F.lit(style.amount))).withColumn("high", C.lerp(high, F.lit(LIGHT[style.preserve_contrast]), F.lit(style.amount))).withColumn("vivid", C.clamp(F.col("vivid"), 0.01, style.ceiling))
     span = F.col("high") - F.col("low")
     own = F.when(span >= 0.5, 5).when(span >= 0.3, 4).when(span >= 0.15, 3).otherwise(2)
     ramps = ramps.join(stops, "cluster", "left").withColumn("n", F.least(F.greatest(F.coalesce(F.when(F.col("n") > 0, F.col("n")), own), F.lit(2)), F.lit(MOST))) if stops is not None else ramps.withColumn("n", own)
     rows = ramps.withColumn("stop", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("t", (F.col("stop") - 1) / (F.col("n") - 1))
     t = F.col("t")
-    bell = F.greatest(F.when(t >= 0.5, LIGHT_BELL).otherwise(DARK_BELL), F.lit(1.0) - 4 * (t - 0.5) * (t - 0.5))
-    pulled = F.when(t < 0.5, C.lerp_hue(F.col("base_hue"), F.lit(COOL), COOL_PULL * STRENGTH * (0.5 - t) * 2)).when(t > 0.5, C.lerp_hue(F.col("base_hue"), F.lit(WARM), WARM_PULL * STRENGTH * (t - 0.5) * 2)).otherwise(F.col("base_hue"))
+    bell = F.greatest(F.when(t >= 0.5, LIGHT_BELL[style.preserve_contrast]).otherwise(DARK_BELL), F.lit(1.0) - 4 * (t - 0.5) * (t - 0.5))
+    pulled = F.when(t < 0.5, C.lerp_hue(F.col("base_hue"), F.lit(style.cool), style.shadow_pull * style.amount * (0.5 - t) * 2)).when(t > 0.5, C.lerp_hue(F.col("base_hue"), F.lit(style.warm), style.highlight_pull * style.amount * (t - 0.5) * 2)).otherwise(F.col("base_hue"))
     rows = rows.select(F.col("cluster").alias("ramp"), "stop", "n", "base_hue", "weight", C.lerp(F.col("low"), F.col("high"), C.smoothstep(t)).alias("lightness"), (F.col("vivid") * bell).alias("wanted"), pulled.alias("hue"))
     rows = settled(rows)  # a few rows; without it each use of a column repeats its whole expression
     return settled(rendered(settled(rows.withColumn("chroma", C.gamut_chroma(F.col("lightness"), F.col("wanted"), F.col("hue"))).drop("wanted"))))
@@ -52,14 +79,15 @@ def rendered(stops: DataFrame) -> DataFrame:
     return stops.withColumns(dict(zip("rgb", map(C.channel, C.linear_rgb(F.col("lightness"), a, b)))))
 
 
-def shared_dark(stops: DataFrame) -> DataFrame:
-    """stops with the first stop of all ramps replaced by their weighted mean colour, where there are two ramps or more."""
-    first = stops.filter("stop = 1")
+def shared_end(stops: DataFrame, light: bool = False) -> DataFrame:
+    """stops with the first (or last) stop of all ramps replaced by their weighted mean colour, where there are two ramps or more."""
+    end = F.col("stop") == (F.col("n") if light else 1)
+    first = stops.filter(end)
     labs = first.select(*[c.alias(n) for c, n in zip(C.oklab(F.col("r"), F.col("g"), F.col("b")), ("lab_l", "lab_a", "lab_b"))], F.when(F.col("weight") > 0, F.col("weight")).otherwise(1).alias("w"))
     mean = labs.agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in ("lab_l", "lab_a", "lab_b")], F.count("*").alias("ramps"))
     polar = settled(mean.select("ramps", F.col("lab_l").alias("m_l"), C.chroma(F.col("lab_a"), F.col("lab_b")).alias("m_c"), C.hue(F.col("lab_a"), F.col("lab_b")).alias("m_h")))
     polar = settled(polar.withColumn("m_c", C.gamut_chroma(F.col("m_l"), F.col("m_c"), F.col("m_h"))))
-    taken = (F.col("ramps") >= 2) & (F.col("stop") == 1)
+    taken = (F.col("ramps") >= 2) & end
     rows = stops.crossJoin(F.broadcast(polar))  # one row
     new = rows.withColumn("lightness", F.when(taken, F.col("m_l")).otherwise(F.col("lightness"))).withColumn("chroma", F.when(taken, F.col("m_c")).otherwise(F.col("chroma"))).withColumn("hue", F.when(taken, F.col("m_h")).otherwise(F.col("hue")))
     return settled(rendered(settled(new.drop("m_l", "m_c", "m_h", "ramps", "r", "g", "b"))))
@@ -73,7 +101,8 @@ def grey(neutral: DataFrame, n: int | None = None) -> DataFrame:
     rows = ends.select(low.alias("low"), high.alias("high")).withColumn("n", C.clamp(F.lit(n) if n else own, 2, GREY_STOPS).cast("int"))
     rows = rows.withColumn("stop", F.explode(F.sequence(F.lit(1), "n")))
     light = C.lerp(F.col("low"), F.col("high"), C.smoothstep((F.col("stop") - 1) / (F.col("n") - 1)))
-    return settled(rendered(rows.select("stop", light.alias("lightness"), F.lit(0.0).alias("chroma"), F.lit(0.0).alias("hue"))))
+    # settled in between: in one projection with the explode above, colours were sometimes those of the row before
+    return settled(rendered(settled(rows.select("stop", light.alias("lightness"), F.lit(0.0).alias("chroma"), F.lit(0.0).alias("hue")))))
 
 
 def stop_budget(target: int, spans: list[float], grey_stops: int, alpha: bool, dark: bool, light: bool) -> list[int]:
@@ -117,19 +146,22 @@ def merged_accents(held: list[dict], accents: list[dict], tolerance: float = 0.0
     return new, found
 
 
-def palette(stops: DataFrame, grey_stops: DataFrame, accents: DataFrame, alpha: bool, shared: bool = True) -> DataFrame:
-    """idx, kind, ramp, stop, r, g, b, a in the palette's order: transparent, shared dark, ramps by hue, accents, greys.
+def palette(stops: DataFrame, grey_stops: DataFrame, accents: DataFrame, alpha: bool, shared: bool = True, light: bool = False) -> DataFrame:
+    """idx, kind, ramp, stop, r, g, b, a in the palette's order: transparent, shared dark, ramps by hue, shared light, accents, greys.
 
     accents: r, g, b and rank, those that merged_accents gave an entry of their own.
     """
     spark = stops.sparkSession
     part = lambda df, block, kind, hue, ramp, stop: df.select(F.lit(block).alias("block"), F.lit(kind).alias("kind"), hue.cast("double").alias("o1"), ramp.cast("int").alias("ramp"), stop.cast("int").alias("stop"), *[F.col(c).cast("int").alias(c) for c in "rgb"], F.lit(255).alias("a"))
     none = F.lit(None)
-    rows = part(stops.filter("stop > 1") if shared else stops, 2, "ramp", F.col("base_hue"), F.col("ramp"), F.col("stop"))
+    own = stops.filter("stop > 1") if shared else stops
+    rows = part(own.filter("stop < n") if light else own, 2, "ramp", F.col("base_hue"), F.col("ramp"), F.col("stop"))
+    if light:
+        rows = rows.unionByName(part(stops.filter("stop = n").orderBy("ramp").limit(1), 3, "shared", F.lit(0), none, none))
     if shared:
         rows = rows.unionByName(part(stops.filter("stop = 1").orderBy("ramp").limit(1), 1, "shared", F.lit(0), none, none))
-    greys = part(grey_stops, 4, "grey", F.lit(0), none, F.col("stop"))
-    rows = rows.unionByName(part(accents, 3, "accent", F.col("rank"), none, F.col("rank"))).unionByName(greys)
+    greys = part(grey_stops, 5, "grey", F.lit(0), none, F.col("stop"))
+    rows = rows.unionByName(part(accents, 4, "accent", F.col("rank"), none, F.col("rank"))).unionByName(greys)
     if alpha:
         clear = spark.range(1).select(F.lit(0).alias("block"), F.lit("transparent").alias("kind"), F.lit(0.0).alias("o1"), none.cast("int").alias("ramp"), none.cast("int").alias("stop"), *[F.lit(0).alias(c) for c in "rgb"], F.lit(0).alias("a"))
         rows = rows.unionByName(clear)

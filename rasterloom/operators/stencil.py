@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.colour import clamp_channel
+from rasterloom.functions.options import outline_kind
 from rasterloom.operators.grid import key_text, vote
 
 # fixed values
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 FILL, CLEAR = 8, 1
-OUTLINES = {"4-way": FOUR, "4way": FOUR, "circle": FOUR, "8-way": EIGHT, "8way": EIGHT, "square": EIGHT}
+#: Side of the tiles by which regions meet pixels.
+TILE = 16
+STEPS = {"4-way": FOUR, "8-way": EIGHT}
 
 
 def neighbours(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
@@ -52,7 +55,7 @@ def snap_neutral(pixels: DataFrame) -> DataFrame:
 
 def outline(pixels: DataFrame, kind: str = "4-way") -> DataFrame:
     """A white line of one pixel around opaque pixels, inside the frame."""
-    near = neighbours(pixels, OUTLINES[kind]).select("frame", "y", "x").distinct().withColumn("near", F.lit(True))
+    near = neighbours(pixels, STEPS[outline_kind(kind)]).select("frame", "y", "x").distinct().withColumn("near", F.lit(True))
     drawn = (F.col("a") == 0) & F.col("near")
     return pixels.join(near, ["frame", "y", "x"], "left").select("frame", "y", "x", *[F.when(drawn, 255).otherwise(F.col(c)).cast("int").alias(c) for c in "rgba"])
 
@@ -66,10 +69,14 @@ def upscale(pixels: DataFrame, factor: int = 10) -> DataFrame:
 def crop(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     """Pixels of each region (label, bx, by, bw, bh) in the region's own coordinates.
 
-    A region is spread to its rows first, so the join is on y and the test of x is left to a filter.
+    A region is spread to its tiles of TILE x TILE places, so the join is on (y div TILE, x div TILE), and the rest of the
+    test is left to a filter: keys are as many as tiles, however high a frame is.
     """
-    rows = regions.select("label", "bx", "by", "bw", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("bh") - 1)).alias("y"))
-    return pixels.join(rows, "y").filter("x >= bx and x < bx + bw").select("label", "frame", (F.col("y") - F.col("by")).alias("y"), (F.col("x") - F.col("bx")).alias("x"), "r", "g", "b", "a")
+    ends = lambda at, size: F.sequence(F.floor(F.col(at) / TILE), F.floor((F.col(at) + F.col(size) - 1) / TILE))
+    tiles = regions.select("label", "bx", "by", "bw", "bh", F.explode(ends("by", "bh")).alias("tile_y")).withColumn("tile_x", F.explode(ends("bx", "bw")))
+    placed = pixels.withColumn("tile_y", F.floor(F.col("y") / TILE)).withColumn("tile_x", F.floor(F.col("x") / TILE))
+    inside = "x >= bx and x < bx + bw and y >= by and y < by + bh"
+    return placed.join(tiles, ["tile_y", "tile_x"]).filter(inside).select("label", "frame", (F.col("y") - F.col("by")).alias("y"), (F.col("x") - F.col("bx")).alias("x"), "r", "g", "b", "a")
 
 
 def fit(pixels: DataFrame, sizes: DataFrame, width: int, height: int) -> DataFrame:

@@ -30,7 +30,7 @@ def downscale(pixels: DataFrame, options: Downscale = Downscale()) -> tuple[Data
     Two stages around one barrier: each frame's pitch, then the common one (a single row, read on the driver), then a
     strategy for each frame: regularised cuts, content-anchored cells, elastic cells, or point samples.
     """
-    pixels = pixels.persist()
+    pixels = settled(pixels)
     sizes = pixels.groupBy("frame").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     profiles = settled(histogram.profiles(pixels))
     by_runs, by_profiles = settled(pitch.from_runs(settled(histogram.runs(pixels)))), settled(pitch.from_profiles(profiles))
@@ -64,7 +64,7 @@ def downscale(pixels: DataFrame, options: Downscale = Downscale()) -> tuple[Data
         lookup = clustering.quantised(histogram.histogram(pixels, size["w"]), options.colours)
         quantised = pixels.withColumn("key", F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).join(lookup.select("frame", "key", *[F.col(c).alias(f"q_{c}") for c in "rgb"]), ["frame", "key"], "left")
         flat = quantised.select("frame", "y", "x", *[F.when(F.col("a") > 0, F.col(f"q_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
-        held = cuts.frame_cuts(profiles, "snapped", unit)
+        held = cuts.frame_cuts(profiles, "uniform" if base <= 2 else "snapped", unit)
         ordered = [anchored, grid.vote(grid.by_cuts(flat, held).select(*keys, *"rgba"), keys)]
     # of several strategies the first that has a frame gives all of it
     result = None
@@ -79,6 +79,7 @@ class Compress:
     slots: int = palette.SLOTS
     target: int | None = None
     grey_stops: int = 3
+    style: ramps.Style = ramps.Style()
 
 
 def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +87,7 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
 
     Pixels are touched twice: by the histogram, and by the lookup at the end. All between are tables of colours.
     """
+    style = options.style
     counted = settled(histogram.sprite_histogram(pixels))
     entries = settled(palette.entries(counted))
     frames = pixels.agg(F.count_distinct("frame").alias("tf"))
@@ -119,10 +121,13 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     budget = None
     if options.target:
         spans = clustered.groupBy("cluster").agg((F.max("lab_l") - F.min("lab_l")).alias("span")).orderBy("cluster").collect()  # a row per cluster, few
-        stops = ramps.stop_budget(options.target - kept.count(), [r["span"] for r in spans], grey_stops, alpha, True, False)
+        stops = ramps.stop_budget(options.target - kept.count(), [r["span"] for r in spans], grey_stops, alpha, style.shared_shadow, style.light_end)
         if spans:
             budget = pixels.sparkSession.createDataFrame([(r["cluster"], s) for r, s in zip(spans, stops)], "cluster int, n int")
-    made = settled(ramps.shared_dark(ramps.chromatic(clustered, budget)))
+    made = ramps.chromatic(clustered, budget, style)
+    for light in [False] * style.shared_shadow + [True] * style.light_end:
+        made = ramps.shared_end(made, light)
+    made = settled(made)
     greys = settled(ramps.grey(neutral, grey_stops or None))
     lab = lambda df: df.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), C.oklab(F.col("r"), F.col("g"), F.col("b")))))
     lookup = palette.remap(clustered.withColumnRenamed("cluster", "ramp"), lab(made)).join(made.select("ramp", "stop", *"rgb"), ["ramp", "stop"]).select("key", *"rgb")
@@ -135,7 +140,8 @@ def compress(pixels: DataFrame, options: Compress = Compress()) -> tuple[DataFra
     own = session.createDataFrame([(k, e["r"], e["g"], e["b"]) for k, e in found.items()], "key int, r int, g int, b int")
     ranked = session.createDataFrame([(e["r"], e["g"], e["b"], i) for i, e in enumerate(new, 1)], "r int, g int, b int, rank int")
     final = settled(palette.override(lookup.unionByName(grey_lookup), own))
-    return palette.apply_lookup(pixels, final), ramps.palette(made, greys, ranked, alpha)
+    several = made.select("ramp").distinct().count() > 1
+    return palette.apply_lookup(pixels, final), ramps.palette(made, greys, ranked, alpha, style.shared_shadow and several, style.light_end and several)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from rasterloom.functions import colour as C
 from rasterloom.operators import clustering, cuts, export, grid, histogram, palette, pitch, ramps, stencil
 from rasterloom.sources.pixels import PIXELS_SQL, SIDE, derived_pixels
+from rasterloom.sources.scratch import settled
 
 PITCH = 4
 QUERIES: dict = {}
@@ -114,12 +115,12 @@ rpc as (select *, support_ratio >= 0.55 and unit_run_ratio <= 0.45 and score_mar
 
 @query("px_pitch_top2", _px(RUN_PITCH_SQL + " select frame, base_pitch, round(pitch, 6) as pitch, round(support_ratio, 6) as support_ratio, round(score_margin, 6) as score_margin, round(unit_run_ratio, 6) as unit_run_ratio, clear from rpc"))
 def px_pitch_top2(spark, d):
-    return _rounded(pitch.from_runs(histogram.runs(derived_pixels(spark, d))))
+    return _rounded(pitch.from_runs(settled(histogram.runs(derived_pixels(spark, d)))))
 
 
 @query("px_pitch_refine", _px(RUN_PITCH_SQL + " select frame, round(pitch, 6) as refined from rpc"))
 def px_pitch_refine(spark, d):
-    runs = histogram.runs(derived_pixels(spark, d))
+    runs = settled(histogram.runs(derived_pixels(spark, d)))
     return _rounded(pitch.refine(pitch.from_runs(runs).select("frame", "base_pitch"), runs))
 
 
@@ -179,7 +180,8 @@ cm as (
 
 
 def _combined(px):
-    return pitch.combine(pitch.from_runs(histogram.runs(px)), pitch.from_profiles(histogram.profiles(px)), _sizes(px))
+    """Runs and profiles are a few numbers for each frame; settled, as several branches use them."""
+    return settled(pitch.combine(settled(pitch.from_runs(settled(histogram.runs(px)))), settled(pitch.from_profiles(settled(histogram.profiles(px)))), _sizes(px)))
 
 
 @query("px_pitch_combined", _px(COMBINED_SQL + " select frame, rule, base_pitch, round(pitch, 6) as pitch, clear, profile_clear, round(profile_score, 6) as profile_score from cm"))
@@ -386,7 +388,8 @@ en as (select *, sqrt(lab_a * lab_a + lab_b * lab_b) as chroma, case when degree
 
 
 def _entries(spark, d):
-    return palette.entries(px_collect_histogram(spark, d))
+    """A small table used several times over; settled, so that each use doesn't repeat its expressions."""
+    return settled(palette.entries(px_collect_histogram(spark, d)))
 
 
 def _clustered(spark, d):
@@ -450,7 +453,7 @@ ac as (
 
 
 def _accents(spark, d):
-    tf = derived_pixels(spark, d).agg(F.count_distinct("frame").alias("tf"))
+    tf = settled(derived_pixels(spark, d).agg(F.count_distinct("frame").alias("tf")))
     return palette.accent_scores(_entries(spark, d), tf)
 
 
@@ -495,7 +498,7 @@ REMAP_SQL = STOPS_SQL + ", rm as (select cl.key, cl.cluster as ramp, arg_min(st.
 
 
 def _remapped(spark, d):
-    return palette.remap(_clustered(spark, d).withColumnRenamed("cluster", "ramp"), _stops(spark, d))
+    return settled(palette.remap(_clustered(spark, d).withColumnRenamed("cluster", "ramp"), _stops(spark, d)))
 
 
 @query("ramp_remap", _px(REMAP_SQL + " select key, ramp, stop::int as stop from rm"))
@@ -573,7 +576,7 @@ def elastic_grid(spark, d):
 
 @query("ramp_stops")
 def ramp_stops(spark, d):
-    return _rounded(ramps.shared_dark(ramps.chromatic(_clustered(spark, d))), 4)
+    return _rounded(ramps.shared_end(ramps.chromatic(_clustered(spark, d))), 4)
 
 
 @query("grey_ramp")
