@@ -16,7 +16,9 @@ equality over LENGTH bytes and the first place matter here, so no suffix is ever
 Distribution: a task turns about CHUNK bytes of documents into sorted blocks for the shards of the hash space, removing
 repeats inside the chunk first; so a passage that a third of all documents share sends one record per chunk. A beginning with more than
 FREQUENT contexts in one chunk (a very common line) isn't gathered either: its strings go on to be hashed, and a mark
-tells its shard. Nothing is dropped. The number of shards follows the input.
+tells its shard. Nothing is dropped. The number of shards follows the input. Where there are more than FAN of them, blocks go
+to groups of shards first, are put together there and dealt on, and so do results on their way to parts of the documents: the
+number of blocks follows the input, not its square.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing; a null doc_id comes after all others; rows
 that share doc_id but not text are ordered by a hash of the text; rows equal in both are one document and get the same
@@ -43,6 +45,8 @@ SHARED = LENGTH - REACH + 1
 #: Bytes of documents in a chunk, bytes hashed at a time, records of a shard.
 CHUNK, SEGMENT, SHARD_RECORDS = 8_000_000, 1 << 20, 1_000_000
 FREQUENT = 64
+#: Blocks that a task may give at once, records put together on the way.
+FAN, MERGED = 256, 1_000_000
 LAST = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(5)
 _T = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -173,18 +177,89 @@ def _chunk(docs: list[int], prints: list[int], found: list[tuple], shards: int,
         keep = ~frequent
         key, context = np.concatenate([key[keep], marks]), np.concatenate([context[keep], marks])
         lo, hi, of = (np.concatenate([x[keep], np.full(len(marks), f)]) for x, f in ((lo, 0), (hi, 0), (of, _MARK)))
-    shard = (key % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
     out = [(-1 - serial % shards, pickle.dumps(settled))] if settled else []
-    for s in range(shards):
-        mine = order[edges[s] : edges[s + 1]]
-        if len(mine):
-            used, back = np.unique(of[mine], return_inverse=True)
+    records = Records(docs_, prints_, of.astype(np.uint32), key, context, lo.astype(np.uint32), (hi - lo).astype(np.uint8))
+    return out + [(s, r.packed()) for s, r in records.dealt(shards, _width(shards))]
+
+
+def _width(above: int) -> int:
+    """Shards of a group, where a group of `above` shards is split into FAN at most."""
+    return max(1, -(-above // FAN))
+
+
+class Records:
+    """Contexts or strings: documents, and for each record its place among them (_MARK for a mark), key, context, first start
+    and how many starts follow."""
+
+    FIELDS = ("docs", "prints", "of", "key", "context", "lo", "span")
+
+    def __init__(self, *arrays: np.ndarray):
+        for name, a in zip(self.FIELDS, arrays):
+            setattr(self, name, a)
+
+    def packed(self) -> bytes:
+        return pickle.dumps([getattr(self, f) for f in self.FIELDS], protocol=5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Records:
+        return cls(*pickle.loads(data))
+
+    @classmethod
+    def merged(cls, parts: list[Records]) -> Records:
+        shift = np.cumsum([0] + [len(p.docs) for p in parts[:-1]])
+        of = np.concatenate([np.where(p.of == _MARK, _MARK, p.of + np.uint32(s)) for p, s in zip(parts, shift)]).astype(np.uint32)
+        docs, prints, key, context, lo, span = (np.concatenate([getattr(p, f) for p in parts]) for f in ("docs", "prints", "key", "context", "lo", "span"))
+        return cls(docs, prints, of, key, context, lo, span)
+
+    def dealt(self, shards: int, width: int) -> Iterator[tuple[int, Records]]:
+        """The records' parts for groups of `width` shards."""
+        group = (self.key % np.uint64(shards)).astype(np.int64) // width
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])) if len(order) else np.empty(0, np.int64)
+        for a, b in zip(first, np.append(first[1:], len(order))):
+            mine = order[a:b]
+            used, back = np.unique(self.of[mine], return_inverse=True)
             real = used[used != _MARK]
-            parts = (docs_[real], prints_[real], np.where(of[mine] == _MARK, _MARK, back).astype(np.uint32), key[mine], context[mine], lo[mine].astype(np.uint32), (hi[mine] - lo[mine]).astype(np.uint8))
-            out.append((s, pickle.dumps(parts, protocol=5)))
-    return out
+            of = np.where(self.of[mine] == _MARK, _MARK, back).astype(np.uint32)
+            yield int(group[order[a]]), Records(self.docs[real], self.prints[real], of, *(getattr(self, f)[mine] for f in ("key", "context", "lo", "span")))
+
+
+def _dealt_on(blocks: DataFrame, name: str, shards: int, split) -> DataFrame:
+    """Blocks (name, block) of groups of shards, dealt to smaller groups until each has its own shard. split: a list of blocks
+    and a width to (group, block) pairs."""
+    schema = pa.schema([(name, pa.int32()), ("block", pa.binary())])
+
+    def step(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[bytes] = []
+            now, size = None, 0
+
+            def flushed() -> Iterator[pa.RecordBatch]:
+                for group, block in split(held, width) if held else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block], pa.binary())], schema=schema)
+                held.clear()
+
+            for batch in batches:
+                for group, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if group < 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block.as_py()], pa.binary())], schema=schema)
+                        continue
+                    if group != now or size >= 32 * MERGED:
+                        yield from flushed()
+                        now, size = group, 0
+                    held.append(block.as_py())
+                    size += len(held[-1])
+            yield from flushed()
+
+        return run
+
+    width = _width(shards)
+    while width > 1:
+        groups = -(-shards // width)
+        salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
+        width = _width(width)
+        blocks = salted.repartition(common.tasks(groups * 4), name, "salt").sortWithinPartitions(name).select(name, "block").mapInArrow(step(width), f"{name} int, block binary")
+    return blocks.repartition(common.tasks(shards), name)
 
 
 def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
@@ -226,12 +301,12 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
 _PARTS = "part int, block binary"
 
 
-def _parted(rows: list[tuple], parts: int) -> pd.DataFrame:
-    """Rows of _FOUND in one block for each part of the documents."""
+def _parted(rows: list[tuple], parts: int, width: int) -> list[tuple[int, bytes]]:
+    """Rows of _FOUND in one block for each group of `width` parts of the documents."""
     out: dict[int, list] = {}
     for r in rows:
-        out.setdefault(hash((r[0], r[1])) % parts, []).append(r)
-    return pd.DataFrame({"part": list(out), "block": [pickle.dumps(b) for b in out.values()]})
+        out.setdefault(hash((r[0], r[1])) % parts // width, []).append(r)
+    return [(p, pickle.dumps(b)) for p, b in out.items()]
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,16 +319,17 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _settle(whole: bool, shards: int):
+    def given(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(_parted(rows, shards, _width(shards)), columns=["part", "block"])
+
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sorts a shard's records and gives the ranges that are repeats, and those to be looked at singly."""
-        blocks = [pickle.loads(b) for b in pdf["block"]]
         if pdf["shard"].iloc[0] < 0:
-            return _parted([r for b in blocks for r in b], shards)
-        docs, prints = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-        shift = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])[:-1]])
-        of = np.concatenate([np.where(b[2] == _MARK, -1, b[2].astype(np.int64) + s) for b, s in zip(blocks, shift)])
-        key, context, lo, span = (np.concatenate([b[k] for b in blocks]) for k in (3, 4, 5, 6))
-        del blocks
+            return given([r for b in pdf["block"] for r in pickle.loads(b)])
+        all_ = Records.merged([Records.unpacked(b) for b in pdf["block"]])
+        docs, prints, key, context, lo, span = all_.docs, all_.prints, all_.key, all_.context, all_.lo, all_.span
+        of = np.where(all_.of == _MARK, -1, all_.of.astype(np.int64))
+        del all_
         rank = np.append(_doc_ranks(docs, prints), 0)
         mark = of < 0
         place = rank[of].astype(np.uint64) << np.uint64(32) | lo
@@ -269,13 +345,16 @@ def _settle(whole: bool, shards: int):
             several = np.bincount(of_key, first) + np.bincount(of_key, mark) > 1
             single = ~again & ~mark & several[of_key]
             rows += _ranges(docs, prints, of[single], lo[single], lo[single] + span[single], True)
-        return _parted(rows, shards)
+        return given(rows)
 
     return settle
 
 
 def _settled(blocks: DataFrame, whole: bool, shards: int) -> DataFrame:
-    return blocks.groupBy("shard").applyInPandas(_settle(whole, shards), _PARTS).groupBy("part").applyInPandas(_by_document, _FOUND)
+    records = _dealt_on(blocks, "shard", shards, lambda held, width: [(s, r.packed()) for s, r in Records.merged(list(map(Records.unpacked, held))).dealt(shards, width)])
+    parts = records.groupBy("shard").applyInPandas(_settle(whole, shards), _PARTS)
+    parts = _dealt_on(parts, "part", shards, lambda held, width: _parted([r for b in held for r in pickle.loads(b)], shards, width))
+    return parts.groupBy("part").applyInPandas(_by_document, _FOUND)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -291,10 +370,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     shards = max(common.partitions(docs.sparkSession), -(-volume // (REACH // 2 * SHARD_RECORDS)))
     blocks = _records(rows.select("doc", "print", "text"), shards, True)
     found = common.stored(_settled(blocks, True, shards), "contexts")
+    common.tidy(docs.sparkSession)
 
     asked = found.filter("single").drop("single")
     looked = _records(rows.join(asked, ["doc", "print"]).select("doc", "print", "text", "ranges"), shards, False)
     more = common.stored(_settled(looked, False, shards), "strings")
+    common.tidy(docs.sparkSession)
 
     gone = found.filter("not single").union(more).groupBy("doc", "print").agg(F.collect_list("ranges").alias("ranges"))
 

@@ -381,6 +381,13 @@ def test_repeats_equal_brute_force(small, plain):
     assert {r.doc_id: tuple(r)[1:] for r in repeats.digest(repeats.repeated(small)).collect()} == want
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_repeats_through_groups_of_shards(small, plain, monkeypatch, fan):
+    for name, value in (("FAN", fan), ("SHARD_RECORDS", 2000), ("CHUNK", 60_000), ("MERGED", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.digest(repeats.repeated(small)).collect()} == brute.covered(plain)
+
+
 def test_repeats_odd_cases(spark, nothing):
     passage = "".join(chr(97 + i) for i in np.random.default_rng(6).integers(0, 26, 150))
     rows = [(5, "aa" + passage + "bb"), (3, passage + passage), (9, None), (1, ""), (2, "x" * 99), (4, "y" * 5000), (6, "y" * 300), (7, "é" * 80), (8, "é" * 80 + "!"), (10, passage[:99]), (11, "ab" * 700_000)]
