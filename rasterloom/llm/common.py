@@ -6,8 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,56 @@ def tasks(shards: int) -> int:
     return max(1, min(shards, 1 << 17))
 
 
+#: Groups that the blocks of one task are dealt to, at most.
+FAN = 256
+
+
+def width_of(above: int) -> int:
+    """Shards of a group, where a group of `above` shards is split into FAN at most."""
+    return max(1, -(-above // FAN))
+
+
+def dealt_on(blocks: DataFrame, name: str, shards: int, split: Callable[[list[bytes], int], Iterable[tuple[int, bytes]]], most: int) -> DataFrame:
+    """Blocks (name, block) of groups of shards, dealt to smaller groups until each has its own shard. split: a list of blocks
+    and a width to (group, block) pairs; most: bytes of blocks that are put together at once. Blocks of groups below 0 are passed on.
+
+    A task gives FAN blocks at most for what it puts together, so the number of blocks follows the volume, not its square.
+    """
+    schema = pa.schema([(name, pa.int32()), ("block", pa.binary())])
+
+    def step(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[bytes] = []
+            now, size = None, 0
+
+            def flushed() -> Iterator[pa.RecordBatch]:
+                for group, block in split(held, width) if held else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block], pa.binary())], schema=schema)
+                held.clear()
+
+            for batch in batches:
+                for group, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if group < 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block.as_py()], pa.binary())], schema=schema)
+                        continue
+                    if group != now or size >= most:
+                        yield from flushed()
+                        now, size = group, 0
+                    held.append(block.as_py())
+                    size += len(held[-1])
+            yield from flushed()
+
+        return run
+
+    width = width_of(shards)
+    while width > 1:
+        groups = -(-shards // width)
+        salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
+        width = width_of(width)
+        blocks = salted.repartition(tasks(groups * 4), name, "salt").sortWithinPartitions(name).select(name, "block").mapInArrow(step(width), f"{name} int, block binary")
+    return blocks.repartition(tasks(shards), name)
+
+
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Bounds the bytes handed to Python at once; long texts make the default number of rows too much for two workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -16,7 +16,7 @@ The trie holds what training texts say; the n-grams of all texts are then looked
 Distribution: a task turns about CHUNK bytes of documents into a row of token numbers and the words behind them. The counts of
 words over all chunks, and a number for each word (the place where it stands first), come back to each chunk (one shuffle of a
 chunk's distinct words, one back). Then a chunk gives one block of trigrams, with the documents they occur in, to each shard. Shards follow the corpus (SHARD_TOKENS each), so a shard's memory
-doesn't grow; where there are more than FAN of them, blocks pass through groups of shards and are put together there, so the
+doesn't grow; where there are more than common.FAN of them, blocks pass through groups of shards and are put together there, so the
 number of blocks follows the input. A trigram is dealt by v; by v and w where v is frequent (more than 1/HOT of all tokens, so
 fewer than HOT words), and by all three where the pair is (counted beforehand, fewer than HOT pairs). All counts cover all training
 documents; words are told apart by 64-bit hashes, and by their numbers from then on.
@@ -47,8 +47,8 @@ from . import common
 
 #: Chosen by texts held out of the training rows of sf0.01.
 MU2, MU3 = 200.0, 2.0
-#: Bytes and documents of a chunk, tokens of a shard, blocks that a task may give at once, bytes put together on the way.
-CHUNK, CHUNK_DOCS, SHARD_TOKENS, FAN, MERGED = 12_000_000, 60_000, 1_500_000, 256, 32_000_000
+#: Bytes and documents of a chunk, tokens of a shard, bytes of blocks put together on the way.
+CHUNK, CHUNK_DOCS, SHARD_TOKENS, MERGED = 12_000_000, 60_000, 1_500_000, 8_000_000
 HOT = 1000
 #: The hash of the end among words; the numbers of the end and of the start, above those of all words.
 END_HASH = 0x6C62272E07BB0142
@@ -446,13 +446,8 @@ def hot_pairs(made: DataFrame, words: dict[int, int], n: int) -> dict[tuple[int,
     return {(numbers[r["pair"] // len(numbers)], numbers[r["pair"] % len(numbers)]): r["c"] for r in rows.collect()}  # fewer than HOT rows
 
 
-_BLOCKS = "part long, block binary"
-_SCORED = "handle long, doc_id long, n_tokens long, n_known long, base double, model double"
-
-
-def _width(above: int) -> int:
-    """Shards of a part, where a part of `above` shards is split into FAN at most."""
-    return max(1, -(-above // FAN))
+_BLOCKS = "part int, block binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
 
 
 def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n: int, kinds: int, learnt: int) -> DataFrame:
@@ -469,7 +464,7 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
                 base, known = np.log10((of + 1) / (n + kinds + 1))[chunk.w], (of > 0)[chunk.w]
                 docs = (number << 16) + np.arange(len(chunk.ids))
                 sums = [np.bincount(chunk.doc, x, len(docs)) for x in (known, base)]
-                yield _rows([-1 - number % shards], [pickle.dumps((docs, chunk.ids, chunk.n, *sums), protocol=5)])
+                yield _rows([-1 - int(_part(docs[:1], shards)[0])], [pickle.dumps((docs, chunk.ids, chunk.n, *sums), protocol=5)])
                 rank = np.argsort(words)
                 to = np.empty(len(rank), np.uint32)
                 to[rank] = np.arange(len(rank), dtype=np.uint32)
@@ -479,47 +474,15 @@ def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n:
                 first = _edges(v, w, u, doc)
                 times = np.diff(np.append(first, len(v)))
                 whole = Block(words[rank], of[rank], docs, v[first], w[first], u[first], doc[first], times, chunk.train[doc[first]])
-                for part, block in whole.dealt(shards, _width(shards), hot, pairs):
+                for part, block in whole.dealt(shards, common.width_of(shards), hot, pairs):
                     yield _rows([part], [block.packed()])
 
-    def split(width: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Puts blocks of a part together, up to MERGED bytes, and splits them into its own parts."""
-            held: list[Block] = []
-            now, size = None, 0
-
-            def flushed() -> Iterator[pa.RecordBatch]:
-                if held:
-                    for part, block in Block.merged(held).dealt(shards, width, hot, pairs):
-                        yield _rows([part], [block.packed()])
-                    held.clear()
-
-            for batch in batches:
-                for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if part < 0:
-                        yield _rows([part], [block.as_py()])
-                        continue
-                    if part != now or size >= MERGED:
-                        yield from flushed()
-                        now, size = part, 0
-                    held.append(Block.unpacked(block.as_py()))
-                    size += 40 * len(held[-1].v)
-            yield from flushed()
-
-        return run
-
     out = made.select("chunk", "ids", "train", "sizes", "tokens", "counts", "numbers").mapInArrow(make, _BLOCKS)
-    width = _width(shards)
-    while width > 1:
-        groups = -(-shards // width)
-        salted = out.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
-        width = _width(width)
-        out = salted.repartition(common.tasks(groups * 4), "part", "salt").sortWithinPartitions("part").select("part", "block").mapInArrow(split(width), _BLOCKS)
-    return out
+    return common.dealt_on(out, "part", shards, lambda held, width: [(p, b.packed()) for p, b in Block.merged(list(map(Block.unpacked, held))).dealt(shards, width, hot, pairs)], MERGED)
 
 
 def _rows(parts: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "block"])
 
 
 def _trained(block: Block, n: int, kinds: int, pairs: dict[tuple[int, int], int]) -> tuple[Trie, np.ndarray]:
@@ -539,16 +502,38 @@ def _trained(block: Block, n: int, kinds: int, pairs: dict[tuple[int, int], int]
     return trie, trie.rank(block.words)
 
 
-def _answer(n: int, kinds: int, pairs: dict[tuple[int, int], int]):
+def _part(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of documents by their handles: that of their chunk."""
+    return (_hash((docs >> 16).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _sums(docs: np.ndarray, sums: np.ndarray, parts: int, width: int) -> list[tuple[int, bytes]]:
+    """Sums by handles of documents (rising), in one block for each group of `width` parts."""
+    part = _part(docs, parts) // width
+    order = np.argsort(part, kind="stable")
+    first = _edges(part[order])
+    return [(int(part[order[a]]), pickle.dumps((docs[order[a:b]], sums[order[a:b]]), protocol=5)) for a, b in zip(first, np.append(first[1:], len(order)))]
+
+
+def _added(blocks: list[bytes], parts: int, width: int) -> list[tuple[int, bytes]]:
+    """Blocks of sums put together and dealt to groups of `width` parts; blocks of documents go with them."""
+    held = [pickle.loads(b) for b in blocks]
+    out = [(int(_part(h[0][:1], parts)[0]) // width, b) for h, b in zip(held, blocks) if len(h) > 2]
+    if sums := [h for h in held if len(h) == 2]:
+        docs, values = (np.concatenate(x) for x in zip(*sums))
+        every = _sorted(docs)
+        out += _sums(every, np.bincount(np.searchsorted(every, docs), values, len(every)), parts, width)
+    return out
+
+
+def _answer(n: int, kinds: int, pairs: dict[tuple[int, int], int], shards: int):
     unknown = float(-np.log10(n + kinds + 1))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Builds a shard's trie from its training texts and looks up all its texts' trigrams: sums for each document."""
+        """Builds a shard's trie from its training texts and looks up all its texts' trigrams: sums for each document, in
+        blocks for the parts of the documents."""
         if pdf["part"].iloc[0] < 0:
-            parts = [pickle.loads(b) for b in pdf["block"]]
-            handles, n_tokens, known, base = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
-            ids = pd.array([i for p in parts for i in p[1]], "Int64")
-            return pd.DataFrame({"handle": handles, "doc_id": ids, "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base, "model": 0.0})
+            return pd.DataFrame({"part": (-1 - pdf["part"]) // common.width_of(shards), "block": pdf["block"]})
         block = Block.merged([Block.unpacked(b) for b in pdf["block"]])
         order = _order(block.v, block.w, block.u, len(block.words))
         for x in ("v", "w", "u", "doc", "times", "learn"):
@@ -558,11 +543,23 @@ def _answer(n: int, kinds: int, pairs: dict[tuple[int, int], int]):
         numerator, denominator = trie.score(*(rank[getattr(block, x)[first]] for x in "vwu"), unknown)
         value = numerator + np.where(block.words[block.w[first]] == np.uint64(END), 0.0, denominator)
         sums = np.bincount(block.doc, block.times * np.repeat(value, np.diff(np.append(first, len(block.v)))), len(block.docs))
-        return pd.DataFrame({"handle": block.docs, "doc_id": pd.array([None] * len(sums), "Int64"), "n_tokens": 0, "n_known": 0, "base": 0.0, "model": sums})
+        return pd.DataFrame(_sums(block.docs, sums, shards, common.width_of(shards)), columns=["part", "block"])
 
     return answer
 
 
+def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a part with the sums of all shards. Sums are pairs; documents have ids and base scores as well."""
+    held = [pickle.loads(b) for b in pdf["block"]]
+    infos, sums = [h for h in held if len(h) > 2], [h for h in held if len(h) == 2]
+    handles, n_tokens, known, base = (np.concatenate([h[k] for h in infos]) for k in (0, 2, 3, 4))
+    order = np.argsort(handles)
+    place = order[np.searchsorted(handles[order], np.concatenate([h[0] for h in sums]))]
+    model = np.bincount(place, np.concatenate([h[1] for h in sums]), len(handles))
+    ids = pd.array([i for h in infos for i in h[1]], "Int64")
+    return pd.DataFrame({"doc_id": ids, "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base, "model": model})
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, train)."""
     common.small_batches(docs.sparkSession)
@@ -579,8 +576,9 @@ def score(docs: DataFrame) -> DataFrame:
     keys = _hash(*(np.array(x, np.uint64) for x in zip(*pairs))) if pairs else np.empty(0, np.uint64)
     shards = max(common.partitions(docs.sparkSession), -(-n // SHARD_TOKENS))
     dealt = blocks(made.drop("words", "c").join(counts.select("chunk", "counts", "numbers"), "chunk"), shards, hot, keys, n, kinds, learnt)
-    parts = dealt.repartition(common.tasks(shards), "part").groupBy("part").applyInPandas(_answer(n, kinds, pairs), _SCORED)
-    summed = parts.groupBy("handle").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
+    parts = dealt.groupBy("part").applyInPandas(_answer(n, kinds, pairs, shards), _BLOCKS)
+    parts = common.dealt_on(parts, "part", shards, lambda held, width: _added(held, shards, width), MERGED)
+    summed = parts.groupBy("part").applyInPandas(_documents, _SCORED)
     begin = float(-np.log10(learnt + MU3))  # the first token's context
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("model") + F.lit(begin)).alias("score"))
 

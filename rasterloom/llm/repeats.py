@@ -16,7 +16,7 @@ equality over LENGTH bytes and the first place matter here, so no suffix is ever
 Distribution: a task turns about CHUNK bytes of documents into sorted blocks for the shards of the hash space, removing
 repeats inside the chunk first; so a passage that a third of all documents share sends one record per chunk. A beginning with more than
 FREQUENT contexts in one chunk (a very common line) isn't gathered either: its strings go on to be hashed, and a mark
-tells its shard. Nothing is dropped. The number of shards follows the input. Where there are more than FAN of them, blocks go
+tells its shard. Nothing is dropped. The number of shards follows the input. Where there are more than common.FAN of them, blocks go
 to groups of shards first, are put together there and dealt on, and so do results on their way to parts of the documents: the
 number of blocks follows the input, not its square.
 
@@ -45,8 +45,8 @@ SHARED = LENGTH - REACH + 1
 #: Bytes of documents in a chunk, bytes hashed at a time, records of a shard.
 CHUNK, SEGMENT, SHARD_RECORDS = 8_000_000, 1 << 20, 1_000_000
 FREQUENT = 64
-#: Blocks that a task may give at once, records put together on the way.
-FAN, MERGED = 256, 1_000_000
+#: Bytes of blocks put together on the way.
+MERGED = 32_000_000
 LAST = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(5)
 _T = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -179,12 +179,7 @@ def _chunk(docs: list[int], prints: list[int], found: list[tuple], shards: int,
         lo, hi, of = (np.concatenate([x[keep], np.full(len(marks), f)]) for x, f in ((lo, 0), (hi, 0), (of, _MARK)))
     out = [(-1 - serial % shards, pickle.dumps(settled))] if settled else []
     records = Records(docs_, prints_, of.astype(np.uint32), key, context, lo.astype(np.uint32), (hi - lo).astype(np.uint8))
-    return out + [(s, r.packed()) for s, r in records.dealt(shards, _width(shards))]
-
-
-def _width(above: int) -> int:
-    """Shards of a group, where a group of `above` shards is split into FAN at most."""
-    return max(1, -(-above // FAN))
+    return out + [(s, r.packed()) for s, r in records.dealt(shards, common.width_of(shards))]
 
 
 class Records:
@@ -224,44 +219,6 @@ class Records:
             yield int(group[order[a]]), Records(self.docs[real], self.prints[real], of, *(getattr(self, f)[mine] for f in ("key", "context", "lo", "span")))
 
 
-def _dealt_on(blocks: DataFrame, name: str, shards: int, split) -> DataFrame:
-    """Blocks (name, block) of groups of shards, dealt to smaller groups until each has its own shard. split: a list of blocks
-    and a width to (group, block) pairs."""
-    schema = pa.schema([(name, pa.int32()), ("block", pa.binary())])
-
-    def step(width: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[bytes] = []
-            now, size = None, 0
-
-            def flushed() -> Iterator[pa.RecordBatch]:
-                for group, block in split(held, width) if held else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block], pa.binary())], schema=schema)
-                held.clear()
-
-            for batch in batches:
-                for group, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if group < 0:
-                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([block.as_py()], pa.binary())], schema=schema)
-                        continue
-                    if group != now or size >= 32 * MERGED:
-                        yield from flushed()
-                        now, size = group, 0
-                    held.append(block.as_py())
-                    size += len(held[-1])
-            yield from flushed()
-
-        return run
-
-    width = _width(shards)
-    while width > 1:
-        groups = -(-shards // width)
-        salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
-        width = _width(width)
-        blocks = salted.repartition(common.tasks(groups * 4), name, "salt").sortWithinPartitions(name).select(name, "block").mapInArrow(step(width), f"{name} int, block binary")
-    return blocks.repartition(common.tasks(shards), name)
-
-
 def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
     """Blocks of docs (doc, print, text): of contexts (whole), or of the single strings in `ranges`."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
@@ -320,7 +277,7 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _settle(whole: bool, shards: int):
     def given(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(_parted(rows, shards, _width(shards)), columns=["part", "block"])
+        return pd.DataFrame(_parted(rows, shards, common.width_of(shards)), columns=["part", "block"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sorts a shard's records and gives the ranges that are repeats, and those to be looked at singly."""
@@ -351,9 +308,9 @@ def _settle(whole: bool, shards: int):
 
 
 def _settled(blocks: DataFrame, whole: bool, shards: int) -> DataFrame:
-    records = _dealt_on(blocks, "shard", shards, lambda held, width: [(s, r.packed()) for s, r in Records.merged(list(map(Records.unpacked, held))).dealt(shards, width)])
+    records = common.dealt_on(blocks, "shard", shards, lambda held, width: [(s, r.packed()) for s, r in Records.merged(list(map(Records.unpacked, held))).dealt(shards, width)], MERGED)
     parts = records.groupBy("shard").applyInPandas(_settle(whole, shards), _PARTS)
-    parts = _dealt_on(parts, "part", shards, lambda held, width: _parted([r for b in held for r in pickle.loads(b)], shards, width))
+    parts = common.dealt_on(parts, "part", shards, lambda held, width: _parted([r for b in held for r in pickle.loads(b)], shards, width), MERGED)
     return parts.groupBy("part").applyInPandas(_by_document, _FOUND)
 
 

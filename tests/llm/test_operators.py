@@ -217,7 +217,8 @@ def test_lm_base_counts_and_gain(small, plain):
 @pytest.mark.parametrize("fan, tokens, hot", [(256, 2_500_000, 1000), (3, 20_000, 30), (2, 9_000, 1000)])
 def test_lm_scores_equal_plain_counts(spark, small, plain, monkeypatch, fan, tokens, hot):
     """One shard for each task; many shards by several steps; many frequent words and pairs."""
-    for name, value in (("FAN", fan), ("SHARD_TOKENS", tokens), ("HOT", hot), ("CHUNK", 150_000), ("MERGED", 500_000)):
+    monkeypatch.setattr(common, "FAN", fan)
+    for name, value in (("SHARD_TOKENS", tokens), ("HOT", hot), ("CHUNK", 150_000), ("MERGED", 50_000)):
         monkeypatch.setattr(ngram_lm, name, value)
     learns = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     rows = ngram_lm.score(small.select("doc_id", "text", (common.doc_remainder("doc_id", 7) != 2).alias("train"))).collect()
@@ -383,7 +384,8 @@ def test_repeats_equal_brute_force(small, plain):
 
 @pytest.mark.parametrize("fan", [2, 3])
 def test_repeats_through_groups_of_shards(small, plain, monkeypatch, fan):
-    for name, value in (("FAN", fan), ("SHARD_RECORDS", 2000), ("CHUNK", 60_000), ("MERGED", 2000)):
+    monkeypatch.setattr(common, "FAN", fan)
+    for name, value in (("SHARD_RECORDS", 2000), ("CHUNK", 60_000), ("MERGED", 50_000)):
         monkeypatch.setattr(repeats, name, value)
     assert {r.doc_id: tuple(r)[1:] for r in repeats.digest(repeats.repeated(small)).collect()} == brute.covered(plain)
 
