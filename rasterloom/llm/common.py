@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -117,8 +117,8 @@ def width_of(above: int) -> int:
     return max(1, -(-above // FAN))
 
 
-def dealt_on(blocks: DataFrame, name: str, shards: int, split: Callable[[list[bytes], int], Iterable[tuple[int, bytes]]], most: int) -> DataFrame:
-    """Blocks (name, block) of groups of shards, dealt to smaller groups until each has its own shard. split: a list of blocks
+def dealt_on(blocks: DataFrame, name: str, shards: int, split: Callable[[list[bytes], int], Iterable[tuple[int, bytes]]], most: int) -> GroupedData:
+    """Blocks (name, block) of groups of shards, dealt to smaller groups until each has its own shard, and grouped by shard. split: a list of blocks
     and a width to (group, block) pairs; most: bytes of blocks that are put together at once. Blocks of groups below 0 are passed on.
 
     A task gives FAN blocks at most for what it puts together, so the number of blocks follows the volume, not its square.
@@ -155,7 +155,9 @@ def dealt_on(blocks: DataFrame, name: str, shards: int, split: Callable[[list[by
         salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(max(1, width // FAN))))
         width = width_of(width)
         blocks = salted.repartition(tasks(groups * 4), name, "salt").sortWithinPartitions(name).select(name, "block").mapInArrow(step(width), f"{name} int, block binary")
-    return blocks.repartition(tasks(shards), name)
+    # each shard gets a task of its own; by a hash of their numbers several would meet in one
+    n = tasks(shards)
+    return blocks.withColumn("task", F.pmod(F.col(name), F.lit(n))).repartitionById(n, F.col("task")).groupBy("task", name)
 
 
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:

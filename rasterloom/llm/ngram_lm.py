@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -450,8 +450,8 @@ _BLOCKS = "part int, block binary"
 _SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
 
 
-def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n: int, kinds: int, learnt: int) -> DataFrame:
-    """(part, block) of chunks with their words' counts; a part below 0 holds documents with their base scores."""
+def blocks(made: DataFrame, shards: int, hot: np.ndarray, pairs: np.ndarray, n: int, kinds: int, learnt: int) -> GroupedData:
+    """(part, block), grouped by part, of chunks with their words' counts; a part below 0 holds documents with their base scores."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -576,9 +576,9 @@ def score(docs: DataFrame) -> DataFrame:
     keys = _hash(*(np.array(x, np.uint64) for x in zip(*pairs))) if pairs else np.empty(0, np.uint64)
     shards = max(common.partitions(docs.sparkSession), -(-n // SHARD_TOKENS))
     dealt = blocks(made.drop("words", "c").join(counts.select("chunk", "counts", "numbers"), "chunk"), shards, hot, keys, n, kinds, learnt)
-    parts = dealt.groupBy("part").applyInPandas(_answer(n, kinds, pairs, shards), _BLOCKS)
+    parts = dealt.applyInPandas(_answer(n, kinds, pairs, shards), _BLOCKS)
     parts = common.dealt_on(parts, "part", shards, lambda held, width: _added(held, shards, width), MERGED)
-    summed = parts.groupBy("part").applyInPandas(_documents, _SCORED)
+    summed = parts.applyInPandas(_documents, _SCORED)
     begin = float(-np.log10(learnt + MU3))  # the first token's context
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("model") + F.lit(begin)).alias("score"))
 

@@ -309,9 +309,9 @@ def _settle(whole: bool, shards: int):
 
 def _settled(blocks: DataFrame, whole: bool, shards: int) -> DataFrame:
     records = common.dealt_on(blocks, "shard", shards, lambda held, width: [(s, r.packed()) for s, r in Records.merged(list(map(Records.unpacked, held))).dealt(shards, width)], MERGED)
-    parts = records.groupBy("shard").applyInPandas(_settle(whole, shards), _PARTS)
+    parts = records.applyInPandas(_settle(whole, shards), _PARTS)
     parts = common.dealt_on(parts, "part", shards, lambda held, width: _parted([r for b in held for r in pickle.loads(b)], shards, width), MERGED)
-    return parts.groupBy("part").applyInPandas(_by_document, _FOUND)
+    return parts.applyInPandas(_by_document, _FOUND)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
