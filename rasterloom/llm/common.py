@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -70,9 +71,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of what is no longer referred to; it does so only when the JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove the shuffle files of what is no longer referred to; it does so only when the JVM collects. The first
+    collection frees what holds them, the second finds them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def mark() -> int:

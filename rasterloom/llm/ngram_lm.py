@@ -362,7 +362,7 @@ def _hash(*columns: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Trigrams of some texts: v, w and u as places in `words` (rising numbers, with their counts), places in `docs` (rising
+    """Trigrams of some texts: v, w and u as places in `words` (rising numbers, with their counts, 1 at most where only u is meant), places in `docs` (rising
     handles of documents), how often, and whether that document is learned from."""
 
     FIELDS = ("words", "counts", "docs", "v", "w", "u", "doc", "times", "learn")
@@ -390,7 +390,7 @@ class Block:
         order = np.argsort(words, kind="stable")
         words = words[order]
         first = _edges(words)
-        words, counts = words[first], np.concatenate([b.counts for b in blocks])[order][first]
+        words, counts = words[first], np.maximum.reduceat(np.concatenate([b.counts for b in blocks])[order], first)
         docs = _sorted(np.concatenate([b.docs for b in blocks]))
         maps = [np.searchsorted(words, b.words).astype(np.uint32) for b in blocks]
         spread = [np.concatenate([m[getattr(b, x)] for m, b in zip(maps, blocks)]) for x in "vwu"]
@@ -399,12 +399,16 @@ class Block:
 
     def some(self, rows: np.ndarray) -> Block:
         v, w, u, doc = self.v[rows], self.w[rows], self.u[rows], self.doc[rows]
-        used = np.zeros(len(self.words), bool)
-        for x in (v, w, u):
-            used[x] = True
+        used = np.zeros(len(self.words), np.int8)
+        used[u] = 1
+        for x in (v, w):
+            used[x] = 2
+        # of a word that only stands before others it matters whether it is known, not how often it occurs
+        counts = np.where(used == 2, self.counts, np.minimum(self.counts, 1))
+        used = used > 0
         to = (np.cumsum(used) - 1).astype(np.uint32)
         docs = np.unique(doc)
-        return Block(self.words[used], self.counts[used], self.docs[docs], to[v], to[w], to[u], np.searchsorted(docs, doc), self.times[rows], self.learn[rows])
+        return Block(self.words[used], counts[used], self.docs[docs], to[v], to[w], to[u], np.searchsorted(docs, doc), self.times[rows], self.learn[rows])
 
     def dealt(self, shards: int, width: int, hot: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, Block]]:
         """This block's parts for groups of `width` shards."""
