@@ -33,6 +33,34 @@ class Minstd:
         return int(min(np.searchsorted(np.cumsum(weights), self.fraction() * total, side="right"), len(weights) - 1))
 
 
+def states(seeds: DataFrame, steps: int) -> DataFrame:
+    """seed, state: the generator's state after some steps from each seed."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for seed in pdf["seed"]:
+                rng = Minstd(seed)
+                for _ in range(steps):
+                    rng.fraction()
+                out.append(rng.state)
+            yield pd.DataFrame({"seed": pdf["seed"], "state": out})
+
+    return seeds.select("seed").mapInPandas(run, "seed long, state long")
+
+
+def drawn(histogram: DataFrame) -> DataFrame:
+    """frame, r, g, b: one colour of each frame, by chances in proportion to counts; the generator starts at the frame's
+    number plus one. histogram: frame, r, g, b, n, first_pos."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_pos")
+        at = Minstd(int(pdf["frame"].iloc[0]) + 1).weighted(pdf["n"].to_numpy(float))
+        return pdf.iloc[[at]][["frame", "r", "g", "b"]]
+
+    return histogram.groupBy("frame").applyInPandas(run, "frame int, r int, g int, b int")
+
+
 def kmeans(points: np.ndarray, weights: np.ndarray, k: int, seed: int = SEED, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(centres, nearest centre of each point): seeds far apart by weight, ties to the first centre."""
     k = min(k, len(points))

@@ -257,7 +257,7 @@ def px_sanitised_cuts(spark, d):
     return part.select("p_partkey", F.posexplode(grid.sanitised(raw, F.lit(40))).alias("i", "cut")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("px_row_offsets")
+@query("px_row_offsets", _px("select distinct frame, (y // 5)::int as block, 1 as offset, false as used_drift from px"))  # frames of seven rows of cells never drift
 def px_row_offsets(spark, d):
     return grid.row_offsets(derived_pixels(spark, d), 5)
 
@@ -526,18 +526,13 @@ def colour_survival(spark, d):
 
 @query("rng_minstd", "select p_partkey, (((p_partkey + 1) * 16807 % 2147483647) * 16807 % 2147483647) * 16807 % 2147483647 as state from part")
 def rng_minstd(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet")
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.col("p_partkey") + 1, lambda s, _: s * clustering.MULTIPLIER % clustering.MODULUS)
-    return part.select("p_partkey", step.alias("state"))
+    seeds = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") + 1).alias("seed"))
+    return clustering.states(seeds, 3).select((F.col("seed") - 1).alias("p_partkey"), "state")
 
 
 @query("weighted_choice", _px(", h as (select frame, r, g, b, count(*) as n, min(y * 32 + x) as p from px where a > 0 group by all), c as (select *, sum(n) over (partition by frame order by p) as upto, sum(n) over (partition by frame) as total from h), f as (select frame, total, ((frame + 1) * 16807 % 2147483647 - 1) / 2147483646.0::double * total as target from c group by all) select c.frame, arg_min(r, upto) as r, arg_min(g, upto) as g, arg_min(b, upto) as b from c join f using (frame) where target < upto group by c.frame"))
 def weighted_choice(spark, d):
-    hist = px_histogram(spark, d)
-    w = Window.partitionBy("frame")
-    fraction = ((F.col("frame") + 1).cast("long") * clustering.MULTIPLIER % clustering.MODULUS - 1) / F.lit(float(clustering.MODULUS - 1))
-    rows = hist.withColumn("upto", F.sum("n").over(w.orderBy("first_pos"))).withColumn("target", fraction * F.sum("n").over(w)).filter("target < upto")
-    return rows.groupBy("frame").agg(*[F.min_by(c, "upto").alias(c) for c in "rgb"])
+    return clustering.drawn(px_histogram(spark, d))
 
 
 # ---- sequential and iterative: checked by tests
