@@ -9,7 +9,9 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,6 +166,17 @@ def dealt_on(blocks: DataFrame, name: str, shards: int, split: Callable[[list[by
     return blocks.withColumn("task", F.pmod(F.col(name), F.lit(n))).repartitionById(n, F.col("task")).groupBy("task", name)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else np.empty(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expanded(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Bounds the bytes handed to Python at once; long texts make the default number of rows too much for two workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -37,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
@@ -262,17 +261,6 @@ class Trie:
         return numerator, denominator
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers with their first bytes together, then their second ones and so on, compressed."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else np.empty(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _expanded(data: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
 def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(common.FOLD).split()
 
@@ -301,7 +289,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             flags = np.array(train, bool)
             counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(hashes))
             counts[-1] += flags.sum()
-            values = [part << _SERIAL | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), _squeezed(sizes.astype(np.uint32)), _squeezed(tokens), hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
+            values = [part << _SERIAL | serial, pickle.dumps(ids), np.packbits(flags).tobytes(), common.squeezed(sizes.astype(np.uint32)), common.squeezed(tokens), hashes.view(np.int64), counts, int(counts.sum()), int(flags.sum())]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
@@ -339,7 +327,7 @@ class _Chunk:
 
     def __init__(self, ids: bytes, train: bytes, sizes: bytes, tokens: bytes, words: int):
         self.ids = pickle.loads(ids)
-        n = _expanded(sizes, np.uint32).astype(np.int64)
+        n = common.expanded(sizes, np.uint32).astype(np.int64)
         self.train = np.unpackbits(np.frombuffer(train, np.uint8))[: len(n)].astype(bool)
         long = np.full(int((n + 3).sum()), words, np.uint32)  # two starts, the tokens and an end for each document
         at = np.concatenate([[0], np.cumsum(n + 3)[:-1]])
@@ -347,7 +335,7 @@ class _Chunk:
         place = np.arange(len(self.doc)) + 2 * self.doc.astype(np.int64) + 2
         is_end = np.zeros(len(long), bool)
         is_end[at + n + 2] = True
-        long[place[~is_end[place]]] = _expanded(tokens, np.uint32)
+        long[place[~is_end[place]]] = common.expanded(tokens, np.uint32)
         long[at + n + 2] = words - 1
         self.w, self.v, self.u = (long[place - k] for k in (0, 1, 2))
         self.n = n + 1
@@ -374,13 +362,13 @@ class Block:
     def packed(self) -> bytes:
         v, w = (np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in (self.v, self.w))  # rows are sorted, so most steps are small
         arrays = [np.diff(self.words, prepend=np.uint64(0)), self.counts, np.diff(self.docs, prepend=0), v, w, *(x.astype(np.uint32) for x in (self.u, self.doc, self.times)), np.packbits(self.learn)]
-        return pickle.dumps((len(self.v), [_squeezed(a) for a in arrays]), protocol=5)
+        return pickle.dumps((len(self.v), [common.squeezed(a) for a in arrays]), protocol=5)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Block:
         n, raw = pickle.loads(data)
         kinds = [np.uint64, np.int64, np.int64, *[np.int32] * 2, *[np.uint32] * 3, np.uint8]
-        words, counts, docs, v, w, u, doc, times, learn = (_expanded(r, k) for r, k in zip(raw, kinds))
+        words, counts, docs, v, w, u, doc, times, learn = (common.expanded(r, k) for r, k in zip(raw, kinds))
         v, w = (np.cumsum(x, dtype=np.int32).astype(np.uint32) for x in (v, w))
         return cls(np.cumsum(words), counts, np.cumsum(docs), v, w, u, doc, times, np.unpackbits(learn)[:n].astype(bool))
 

@@ -9,16 +9,18 @@ start in one phrase and end in the phrases after it; the bytes they cover are th
 Dictionary: the distinct contexts, each with its first place in the corpus. Wherever a context appears again, all its strings
 do, and they are removed without looking at them singly. Parse order: contexts are sorted by the hash of the bytes that all
 strings of a trigger share, which brings suffixes of the parse with equal beginnings together, then by context, then by
-place in the corpus. Only where one beginning has several contexts can single strings be repeated; those few are
-hashed and sorted in the same way. The order is by hashes (128 bits), not alphabetical: of the corpus order only
+place in the corpus. Only where one beginning has several contexts can single strings be repeated. Those contexts are cut into
+pieces, of the strings whose distances from the trigger have one quotient by PIECE, and pieces go the same way, by the bytes
+that all strings of a full piece share; where these have several pieces, single strings are hashed and sorted in the same way. The order is by hashes (128 bits), not alphabetical: of the corpus order only
 equality over LENGTH bytes and the first place matter here, so no suffix is ever compared beyond that.
 
 Distribution: a task turns about CHUNK bytes of documents into sorted blocks for the shards of the hash space, removing
 repeats inside the chunk first; so a passage that a third of all documents share sends one record per chunk. A beginning with more than
 FREQUENT contexts in one chunk (a very common line) isn't gathered either: its strings go on to be hashed, and a mark
-tells its shard. Nothing is dropped. The number of shards follows the input. Where there are more than common.FAN of them, blocks go
+tells its shard; pieces likewise. Nothing is dropped. The number of shards follows the input. Where there are more than common.FAN of them, blocks go
 to groups of shards first, are put together there and dealt on, and so do results on their way to parts of the documents: the
-number of blocks follows the input, not its square.
+number of blocks follows the input, not its square. What is dealt twice lies on disk twice, so blocks hold all but the hashes
+compressed, and a single string, 25 bytes for one byte of text, is made only inside pieces that need it.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing; a null doc_id comes after all others; rows
 that share doc_id but not text are ordered by a hash of the text; rows equal in both are one document and get the same
@@ -27,9 +29,10 @@ result; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,8 @@ SHARED = LENGTH - REACH + 1
 #: Bytes of documents in a chunk, bytes hashed at a time, records of a shard.
 CHUNK, SEGMENT, SHARD_RECORDS = 8_000_000, 1 << 20, 1_000_000
 FREQUENT = 64
+#: Strings of a full piece of a context.
+PIECE = 8
 #: Bytes of blocks put together on the way.
 MERGED = 32_000_000
 LAST = np.iinfo(np.int64).max
@@ -118,6 +123,32 @@ def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*out))) if out else (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.uint32),) * 2
 
 
+def pieces(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for the pieces of the contexts with starts lo..hi, as `contexts` gave them."""
+    lo, once = np.unique(lo.astype(np.int64), return_index=True)
+    hi = hi.astype(np.int64)[once]
+    out = []
+    for s0, s1 in segments(len(data)):
+        mine = (lo >= s0) & (lo < s1)
+        if mine.any():
+            h = Hashes(data[s0 : s1 + LENGTH - 1])
+            a, b = lo[mine] - s0, hi[mine] - s0
+            places = a[:, None] + np.arange(REACH)
+            at = a + (h.of(0, places, places + GRAM) >> np.uint64(24)).argmin(axis=1)
+            near = (at - b) // PIECE
+            size = (at - a) // PIECE - near + 1
+            a, b, at = (np.repeat(x, size) for x in (a, b, at))
+            piece = np.repeat(near - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            last = at - piece * PIECE
+            a, b = np.maximum(a, last - PIECE + 1), np.minimum(b, last)
+            shape = (b - a).astype(np.uint64) << np.uint64(8) | (at - a).astype(np.uint64)
+            context = h.of(0, a, b + LENGTH) + _mix(h.of(1, a, b + LENGTH) + shape)
+            end = last + LENGTH - PIECE + 1
+            key = (h.of(1, last, end) ^ h.of(0, last, end) >> np.uint64(1)) + _mix(piece.astype(np.uint64))
+            out.append((key, context, (a + s0).astype(np.uint32), (b + s0).astype(np.uint32)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def strings(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same for the single strings that start in the ranges lo..hi."""
     size = (hi.astype(np.int64) - lo + 1)
@@ -145,13 +176,52 @@ def _doc_ranks(docs: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _ranges(docs: np.ndarray, prints: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray, single: bool) -> list[tuple]:
-    """Rows of _FOUND: a document's ranges of starts, as pairs of 32-bit numbers."""
-    order = np.argsort(of, kind="stable")
-    pairs = np.stack([lo[order], hi[order]], axis=1).astype(np.uint32)
-    of = of[order]
-    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-    return [(int(docs[of[a]]), int(prints[of[a]]), single, pairs[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(of)])]
+def _delta(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+class Ranges:
+    """Ranges of starts in documents: of each its document, whether it is to be looked at more closely, first start and how many follow."""
+
+    FIELDS = ("doc", "print", "single", "lo", "span")
+
+    def __init__(self, *arrays: np.ndarray):
+        for name, a in zip(self.FIELDS, arrays):
+            setattr(self, name, a)
+
+    @classmethod
+    def of(cls, docs: np.ndarray, prints: np.ndarray, of: np.ndarray, lo: np.ndarray, span: np.ndarray, single: bool) -> Ranges:
+        return cls(docs[of], prints[of], np.full(len(of), single), lo.astype(np.uint32), span.astype(np.uint8))
+
+    @classmethod
+    def merged(cls, parts: list[Ranges]) -> Ranges:
+        return cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in cls.FIELDS))
+
+    def sorted(self) -> tuple[Ranges, np.ndarray]:
+        """By document and kind, and where each of these begins."""
+        order = np.lexsort((self.lo, self.single, self.print, self.doc))
+        out = Ranges(*(getattr(self, f)[order] for f in self.FIELDS))
+        new = np.any([x[1:] != x[:-1] for x in (out.doc, out.print, out.single)], axis=0)
+        return out, np.flatnonzero(np.concatenate([[True], new])) if len(order) else np.empty(0, np.int64)
+
+    def packed(self) -> bytes:
+        r, edges = self.sorted()
+        small = (_delta(r.doc[edges].astype(np.uint64)), r.single[edges], np.diff(np.append(edges, len(r.lo))).astype(np.uint32), r.lo, r.span)
+        return pickle.dumps((list(map(common.squeezed, small)), r.print[edges].tobytes()), protocol=5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Ranges:
+        small, print_ = pickle.loads(data)
+        doc, single, size, lo, span = (common.expanded(x, kind) for x, kind in zip(small, (np.uint64, np.bool_, np.uint32, np.uint32, np.uint8)))
+        return cls(*(np.repeat(x, size) for x in (np.cumsum(doc, dtype=np.uint64).astype(np.int64), np.frombuffer(print_, np.int64), single)), lo, span)
+
+    def dealt(self, parts: int, width: int) -> Iterator[tuple[int, bytes]]:
+        """Blocks for groups of `width` parts of the documents."""
+        group = (_mix(self.doc.astype(np.uint64) ^ _mix(self.print.astype(np.uint64))) % np.uint64(parts)).astype(np.int64) // width
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])) if len(order) else np.empty(0, np.int64)
+        for a, b in zip(edges, np.append(edges[1:], len(order))):
+            yield int(group[order[a]]), Ranges(*(getattr(self, f)[order[a:b]] for f in self.FIELDS)).packed()
 
 
 def _chunk(docs: list[int], prints: list[int], found: list[tuple], shards: int, serial: int, whole: bool) -> list[tuple[int, bytes]]:
@@ -166,18 +236,21 @@ def _chunk(docs: list[int], prints: list[int], found: list[tuple], shards: int,
     first = np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
     group = np.cumsum(first) - 1
     again = place > place[first][group]
-    settled = _ranges(docs_, prints_, of[again], lo[again], hi[again], False)
+    settled = [Ranges.of(docs_, prints_, of[again], lo[again], hi[again] - lo[again], False)]
     key, context, lo, hi, of = (x[first] for x in (key, context, lo, hi, of))
     if whole:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
         frequent = np.repeat(size > FREQUENT, size)
-        settled += _ranges(docs_, prints_, of[frequent], lo[frequent], hi[frequent], True)
+        settled.append(Ranges.of(docs_, prints_, of[frequent], lo[frequent], hi[frequent] - lo[frequent], True))
         marks = key[edge[size > FREQUENT]]
         keep = ~frequent
         key, context = np.concatenate([key[keep], marks]), np.concatenate([context[keep], marks])
         lo, hi, of = (np.concatenate([x[keep], np.full(len(marks), f)]) for x, f in ((lo, 0), (hi, 0), (of, _MARK)))
-    out = [(-1 - serial % shards, pickle.dumps(settled))] if settled else []
+    ranges = Ranges.merged(settled)
+    out = [(-1 - serial % shards, ranges.packed())] if len(ranges.lo) else []
+    order = np.lexsort((lo, of))  # which blocks keep, for their small numbers
+    key, context, lo, hi, of = (x[order] for x in (key, context, lo, hi, of))
     records = Records(docs_, prints_, of.astype(np.uint32), key, context, lo.astype(np.uint32), (hi - lo).astype(np.uint8))
     return out + [(s, r.packed()) for s, r in records.dealt(shards, common.width_of(shards))]
 
@@ -193,11 +266,16 @@ class Records:
             setattr(self, name, a)
 
     def packed(self) -> bytes:
-        return pickle.dumps([getattr(self, f) for f in self.FIELDS], protocol=5)
+        """Hashes as they are, the rest compressed."""
+        small = (_delta(self.docs.astype(np.uint64)), _delta(self.of), self.lo, self.span)
+        return pickle.dumps((list(map(common.squeezed, small)), self.prints.tobytes(), self.key.tobytes(), self.context.tobytes()), protocol=5)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Records:
-        return cls(*pickle.loads(data))
+        small, *hashes = pickle.loads(data)
+        docs, of, lo, span = (common.expanded(x, kind) for x, kind in zip(small, (np.uint64, np.uint32, np.uint32, np.uint8)))
+        prints, key, context = (np.frombuffer(x, kind) for x, kind in zip(hashes, (np.int64, np.uint64, np.uint64)))
+        return cls(np.cumsum(docs, dtype=np.uint64).astype(np.int64), prints, np.cumsum(of, dtype=np.uint32), key, context, lo, span)
 
     @classmethod
     def merged(cls, parts: list[Records]) -> Records:
@@ -219,8 +297,8 @@ class Records:
             yield int(group[order[a]]), Records(self.docs[real], self.prints[real], of, *(getattr(self, f)[mine] for f in ("key", "context", "lo", "span")))
 
 
-def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
-    """Blocks of docs (doc, print, text): of contexts (whole), or of the single strings in `ranges`."""
+def _records(docs: DataFrame, shards: int, make_of: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """Blocks of docs (doc, print, text): of `contexts`, or of the `pieces` or single `strings` in `ranges`."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +306,7 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
         held: tuple[list, list, list] = ([], [], [])
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for s, block in _chunk(*held, shards, serial, whole):
+            for s, block in _chunk(*held, shards, serial, make_of is not strings):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.binary())], schema=schema)
             for x in held:
                 x.clear()
@@ -238,14 +316,14 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 if len(data) < LENGTH:
                     continue
-                if whole:
+                if make_of is contexts:
                     found = contexts(data)
                 else:
                     ranges = np.frombuffer(batch.column(3)[i].as_py(), np.uint32).reshape(-1, 2)
-                    found = strings(data, ranges[:, 0], ranges[:, 1])
+                    found = make_of(data, ranges[:, 0], ranges[:, 1])
                 for x, y in zip(held, (doc.as_py(), print_.as_py(), found)):
                     x.append(y)
-                size += len(data) if whole else 32 * len(found[0])
+                size += len(data) if make_of is contexts else 32 * len(found[0])
                 if size >= CHUNK:
                     yield from flushed()
                     size = 0
@@ -258,31 +336,22 @@ def _records(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
 _PARTS = "part int, block binary"
 
 
-def _parted(rows: list[tuple], parts: int, width: int) -> list[tuple[int, bytes]]:
-    """Rows of _FOUND in one block for each group of `width` parts of the documents."""
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(hash((r[0], r[1])) % parts // width, []).append(r)
-    return [(p, pickle.dumps(b)) for p, b in out.items()]
-
-
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for each document and kind, with all its ranges."""
-    ranges: dict[tuple, list] = {}
-    for block in pdf["block"]:
-        for doc, print_, single, pairs in pickle.loads(block):
-            ranges.setdefault((doc, print_, single), []).append(pairs)
-    return pd.DataFrame([(*k, b"".join(v)) for k, v in ranges.items()], columns=["doc", "print", "single", "ranges"])
+    """One row for each document and kind, with all its ranges as pairs of 32-bit numbers."""
+    r, edges = Ranges.merged(list(map(Ranges.unpacked, pdf["block"]))).sorted()
+    pairs = np.stack([r.lo, r.lo + r.span], axis=1).astype(np.uint32)
+    ends = np.append(edges[1:], len(r.lo))
+    return pd.DataFrame({"doc": r.doc[edges], "print": r.print[edges], "single": r.single[edges], "ranges": [pairs[a:b].tobytes() for a, b in zip(edges, ends)]})
 
 
 def _settle(whole: bool, shards: int):
-    def given(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(_parted(rows, shards, common.width_of(shards)), columns=["part", "block"])
+    def given(found: list[Ranges]) -> pd.DataFrame:
+        return pd.DataFrame(Ranges.merged(found).dealt(shards, common.width_of(shards)), columns=["part", "block"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sorts a shard's records and gives the ranges that are repeats, and those to be looked at singly."""
+        """Sorts a shard's records and gives the ranges that are repeats, and those to be looked at more closely."""
         if pdf["shard"].iloc[0] < 0:
-            return given([r for b in pdf["block"] for r in pickle.loads(b)])
+            return given(list(map(Ranges.unpacked, pdf["block"])))
         all_ = Records.merged([Records.unpacked(b) for b in pdf["block"]])
         docs, prints, key, context, lo, span = all_.docs, all_.prints, all_.key, all_.context, all_.lo, all_.span
         of = np.where(all_.of == _MARK, -1, all_.of.astype(np.int64))
@@ -296,13 +365,13 @@ def _settle(whole: bool, shards: int):
         first = new_key | np.concatenate([[True], context[1:] != context[:-1]])
         group = np.cumsum(first) - 1
         again = (place > place[first][group]) & ~mark
-        rows = _ranges(docs, prints, of[again], lo[again], lo[again] + span[again], False)
+        found = [Ranges.of(docs, prints, of[again], lo[again], span[again], False)]
         if whole:
             of_key = np.cumsum(new_key) - 1
             several = np.bincount(of_key, first) + np.bincount(of_key, mark) > 1
             single = ~again & ~mark & several[of_key]
-            rows += _ranges(docs, prints, of[single], lo[single], lo[single] + span[single], True)
-        return given(rows)
+            found.append(Ranges.of(docs, prints, of[single], lo[single], span[single], True))
+        return given(found)
 
     return settle
 
@@ -310,7 +379,7 @@ def _settle(whole: bool, shards: int):
 def _settled(blocks: DataFrame, whole: bool, shards: int) -> DataFrame:
     records = common.dealt_on(blocks, "shard", shards, lambda held, width: [(s, r.packed()) for s, r in Records.merged(list(map(Records.unpacked, held))).dealt(shards, width)], MERGED)
     parts = records.applyInPandas(_settle(whole, shards), _PARTS)
-    parts = common.dealt_on(parts, "part", shards, lambda held, width: _parted([r for b in held for r in pickle.loads(b)], shards, width), MERGED)
+    parts = common.dealt_on(parts, "part", shards, lambda held, width: Ranges.merged(list(map(Ranges.unpacked, held))).dealt(shards, width), MERGED)
     return parts.applyInPandas(_by_document, _FOUND)
 
 
@@ -325,16 +394,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(common.partitions(docs.sparkSession), -(-volume // (REACH // 2 * SHARD_RECORDS)))
-    blocks = _records(rows.select("doc", "print", "text"), shards, True)
-    found = common.stored(_settled(blocks, True, shards), "contexts")
+    blocks = _records(rows.select("doc", "print", "text"), shards, contexts)
+    found = [common.stored(_settled(blocks, True, shards), "contexts")]
     common.tidy(docs.sparkSession)
-
-    asked = found.filter("single").drop("single")
-    looked = _records(rows.join(asked, ["doc", "print"]).select("doc", "print", "text", "ranges"), shards, False)
-    more = common.stored(_settled(looked, False, shards), "strings")
-    common.tidy(docs.sparkSession)
-
-    gone = found.filter("not single").union(more).groupBy("doc", "print").agg(F.collect_list("ranges").alias("ranges"))
+    for make_of in (pieces, strings):
+        looked = rows.join(found[-1].filter("single").drop("single"), ["doc", "print"]).select("doc", "print", "text", "ranges")
+        blocks = _records(looked, shards, make_of)
+        found.append(common.stored(_settled(blocks, make_of is not strings, shards), make_of.__name__))
+        del looked, blocks
+        common.tidy(docs.sparkSession)
+
+    gone = functools.reduce(DataFrame.union, found).filter("not single").groupBy("doc", "print").agg(F.collect_list("ranges").alias("ranges"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
